@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, column: st
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64))
+        size = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
