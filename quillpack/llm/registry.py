@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op2_decontamination, op3_token_frames, op4_token_counts, op6_language_id, op7_simhash_dedup, op9_line_dedup, op10_bpe_codec
+from . import op2_decontamination, op3_token_frames, op4_token_counts, op6_language_id, op7_simhash_dedup, op8_quality, op9_line_dedup, op10_bpe_codec
 
-_MODULES = (op2_decontamination, op3_token_frames, op4_token_counts, op6_language_id, op7_simhash_dedup, op9_line_dedup, op10_bpe_codec)
+_MODULES = (op2_decontamination, op3_token_frames, op4_token_counts, op6_language_id, op7_simhash_dedup, op8_quality, op9_line_dedup, op10_bpe_codec)
 
 
 def queries() -> dict:
