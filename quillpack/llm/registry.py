@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_pii, op2_decontamination, op3_token_frames, op4_token_counts, op6_language_id, op7_simhash_dedup, op8_quality, op9_line_dedup, op10_bpe_codec
+from . import op1_pii, op2_decontamination, op3_token_frames, op4_token_counts, op5_embedding_dedup, op6_language_id, op7_simhash_dedup, op8_quality, op9_line_dedup, op10_bpe_codec
 
-_MODULES = (op1_pii, op2_decontamination, op3_token_frames, op4_token_counts, op6_language_id, op7_simhash_dedup, op8_quality, op9_line_dedup, op10_bpe_codec)
+_MODULES = (op1_pii, op2_decontamination, op3_token_frames, op4_token_counts, op5_embedding_dedup, op6_language_id, op7_simhash_dedup, op8_quality, op9_line_dedup, op10_bpe_codec)
 
 
 def queries() -> dict:
