@@ -20,9 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import only, table
 from .op10_bpe_codec import slices
@@ -156,36 +158,51 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     return build(samples)
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[tuple[str, str], ...] = (("doc_id", "bigint"), ("text", "string")), reject_bits: float = REJECT_BITS, slack_bits: float = SLACK_BITS) -> DataFrame:
-    """The kept columns, then ``_language``, ``_bits`` (of the best language), ``_margin`` (bits to the second) and ``_accepted``."""
+def _judged(model: Model | None, texts: list[str | None], reject_bits: float, slack_bits: float) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, bits under it, bits more under the second, and whether it is accepted, of each text."""
+    raws = [b"" if t is None or not t.strip() else t.encode("utf-8", "surrogatepass") for t in texts]
+    n = np.array([len(r) for r in raws], np.int64)
+    if model is None or not raws:
+        return [None] * len(raws), np.zeros(len(raws)), np.zeros(len(raws)), np.zeros(len(raws), bool)
+    scores = model.score(raws)
+    ranked = np.sort(scores, 1)
+    bits = ranked[:, 0] / UNIT
+    best = [model.languages[i] if m else None for i, m in zip(scores.argmin(1).tolist(), n.tolist())]
+    return best, bits, (ranked[:, min(1, ranked.shape[1] - 1)] - ranked[:, 0]) / UNIT, (n > 0) & (bits <= reject_bits * n + slack_bits)
+
+
+def identify(docs: DataFrame, model: Model | None, reject_bits: float = REJECT_BITS, slack_bits: float = SLACK_BITS) -> DataFrame:
+    """doc_id, language, bits (of the best language), margin (bits to the second) and accepted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c, _ in keep]
-    schema = ", ".join(f"`{c}` {t}" for c, t in keep) + ", _language string, _bits double, _margin double, _accepted boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in slices(batches):
-            raws = [b"" if t is None or not t.strip() else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            n = np.array([len(r) for r in raws])
-            if model is None:
-                best, bits, margin = [None] * len(raws), np.zeros(len(raws)), np.zeros(len(raws))
-            else:
-                scores = model.score(raws)
-                first = scores.argmin(1)
-                ranked = np.sort(scores, 1)
-                bits = ranked[:, 0] / UNIT
-                margin = (ranked[:, min(1, ranked.shape[1] - 1)] - ranked[:, 0]) / UNIT
-                best = [model.languages[i] if m else None for i, m in zip(first.tolist(), n.tolist())]
-            accepted = (n > 0) & (bits <= reject_bits * n + slack_bits) & (model is not None)
-            arrays = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(best, pa.string()), pa.array(bits), pa.array(margin), pa.array(accepted)], names=[*names, "_language", "_bits", "_margin", "_accepted"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+            best, bits, margin, accepted = _judged(shared.value, batch.column("text").to_pylist(), reject_bits, slack_bits)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(bits), pa.array(margin), pa.array(accepted)], names=["doc_id", "language", "bits", "margin", "accepted"])
+
+    return only(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, language string, bits double, margin double, accepted boolean")
+
+
+def accepted_rows(docs: DataFrame, model: Model | None, reject_bits: float = REJECT_BITS, slack_bits: float = SLACK_BITS) -> DataFrame:
+    """The rows, with all their columns, that aren't rejected; only their texts go to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accept(texts: pd.Series) -> pd.Series:
+        held, out, size = [], [], 0
+        for t in [*texts, False]:
+            if t is False or size > 4_000_000:
+                out.append(_judged(shared.value, held, reject_bits, slack_bits)[3])
+                held, size = [], 0
+            held.append(t)
+            size += len(t) if t else 0
+        return pd.Series(np.concatenate(out), dtype=bool)
+
+    return docs.where(F.pandas_udf(accept, T.BooleanType())("text"))
 
 
 def accepted_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, language, bits and margin of the documents that aren't rejected."""
-    return identify(only(docs, doc_id="bigint", text="string"), model).where("_accepted").select("doc_id", F.col("_language").alias("language"), F.round("_bits", 3).alias("bits"), F.round("_margin", 3).alias("margin"))
+    return identify(docs, model).where("accepted").select("doc_id", "language", F.round("bits", 3).alias("bits"), F.round("margin", 3).alias("margin"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
