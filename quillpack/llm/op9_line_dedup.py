@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import words
+from . import bpe, words
 from .common import only, parts, stored, table
 from .op10_bpe_codec import slices
 
@@ -144,19 +144,30 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sig, line = sig[order], line[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
-    odd = (line & 1).astype(np.int64)
-    probes = np.add.reduceat(odd, first)
+    probes = np.add.reduceat(line & 1, first)
     both = np.flatnonzero((probes > 0) & (probes < size))
-    for g in both.tolist():
-        here = np.unique(line[first[g] : first[g] + size[g]])
-        index, probe = here[here & 1 == 0], here[here & 1 == 1] & ~1
-        for at in range(0, len(index), max(1, 500_000 // len(probe))):
-            a = np.repeat(index[at : at + max(1, 500_000 // len(probe))], len(probe))
-            b = np.tile(probe, len(a) // len(probe))
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            keep = low != high
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], names=["x", "y"])
+    # Only signatures with entries of both sides go on; of equal entries one.
+    at = bpe.ragged(np.append(first, len(sig)), both)
+    group, line = np.repeat(np.arange(len(both)), size[both]), line[at]
+    order = np.lexsort((line, group))
+    group, line = group[order], line[order]
+    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (line[1:] != line[:-1])])[: len(line)]
+    group, line = group[fresh], line[fresh]
+    odd = line & 1 == 1
+    index, of, probe = line[~odd], group[~odd], line[odd] & ~1
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(group[odd], minlength=len(both)))])
+    work = np.cumsum(np.diff(bounds)[of]) if len(of) else np.empty(0, np.int64)
+    begin = 0
+    while begin < len(index):
+        end = max(begin + 1, int(np.searchsorted(work, (work[begin - 1] if begin else 0) + 1_000_000, "right")))
+        here = of[begin:end]
+        a = np.repeat(index[begin:end], np.diff(bounds)[here])
+        b = probe[bpe.ragged(bounds, here)]
+        keep = a != b
+        pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], 1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
+        begin = end
 
 
 _PAIR = np.dtype([("sig", np.int64), ("line", np.int64)])
@@ -164,7 +175,7 @@ _PAIR = np.dtype([("sig", np.int64), ("line", np.int64)])
 
 def banded(left: list[str], right: list[str], threshold: int) -> np.ndarray:
     """Edit distances, or threshold + 1 where they are larger: bit-parallel over a band, for all pairs at once."""
-    swap = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(left, right)]
+    swap = [core(a, b) if len(a) >= len(b) else core(b, a) for a, b in zip(left, right)]
     m, n = np.array([len(a) for a, _ in swap]), np.array([len(b) for _, b in swap])
     out = np.full(len(swap), threshold + 1, np.int64)
     for i in np.flatnonzero(m <= 2 * threshold + 2).tolist():  # no room for a band
@@ -177,6 +188,21 @@ def banded(left: list[str], right: list[str], threshold: int) -> np.ndarray:
     return np.minimum(out, threshold + 1)
 
 
+def core(a: str, b: str) -> tuple[str, str]:
+    """Both without what they begin with alike and end with alike, which doesn't change their distance."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        same = a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]
+        low, high = (middle, high) if same else (low, middle - 1)
+    return a[: len(a) - low], b[: len(b) - low]
+
+
 def _plain(a: str, b: str) -> int:
     above = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
