@@ -12,7 +12,7 @@ from .config import SCOPE_MODES, Settings
 from .functions import text as X
 from .operators.schemas import schema_texts
 from .plans.compile import compile_corpus, concatenated
-from .sources.files import read_markdown, read_schemas, write_texts
+from .sources.files import ENDINGS, read_markdown, read_schemas, write_texts
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -29,6 +29,7 @@ def arguments() -> argparse.ArgumentParser:
             one.add_argument("--keep-urls", action="store_true")
             one.add_argument("--sentence-split", action="store_true")
             one.add_argument("--anchor-every", type=int)
+            one.add_argument("--endings", nargs="+", default=list(ENDINGS), help="endings of the files that are read from folders")
             one.add_argument("--separate", action="store_true", help="each file by itself instead of all as one text")
     return top
 
@@ -41,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         result = schema_texts(read_schemas(spark, *given.inputs), settings)
     else:
         settings = settings.override(given.compression, given.scope_mode, given.keep_urls, given.sentence_split, given.anchor_every)
-        files = read_markdown(spark, *given.inputs)
+        files = read_markdown(spark, *given.inputs, endings=tuple(given.endings))
         if files.isEmpty():
             print("error: no input files found", file=sys.stderr)
             return 1

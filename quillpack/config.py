@@ -8,7 +8,7 @@ from functools import lru_cache
 from pathlib import Path
 
 #: Where a settings file is looked for when none is named.
-SEARCHED = ("llmdc.config.json", "config/llmdc.config.json")
+SEARCHED = ("quillpack.config.json", "config/quillpack.config.json")
 SCOPE_MODES = ("flat", "concat", "stacked")
 Pairs = tuple[tuple[str, str], ...]
 

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..config import Settings
 from ..functions import patterns as P
 from ..functions import text as X
 
-IN_ORDER = Window.partitionBy("doc_id").orderBy("run", "sub")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
 ORDER = ("doc_id", "run", "sub")
 
 
+def in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("run", "sub")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
 def level0(lines: DataFrame) -> DataFrame:
     """Single spaces, without empty lines and rules. Level 1 is the same again, so it has no pass of its own."""
     made = lines.withColumn("line", F.when(F.col("verbatim"), F.col("line")).otherwise(P.squeeze(F.col("line"))))
@@ -22,7 +29,7 @@ def level0(lines: DataFrame) -> DataFrame:
 
 def inside_block(line: Column) -> Column:
     """Whether the latest of the lines <<< and >>> so far is the former."""
-    return F.coalesce(F.last(F.when(line.isin("<<<", ">>>"), line), ignorenulls=True).over(SO_FAR) == "<<<", F.lit(False))
+    return F.coalesce(F.last(F.when(line.isin("<<<", ">>>"), line), ignorenulls=True).over(so_far()) == "<<<", F.lit(False))
 
 
 def level2(lines: DataFrame, settings: Settings) -> DataFrame:
@@ -46,4 +53,4 @@ def compressed(lines: DataFrame, settings: Settings) -> DataFrame:
     made = level0(lines)
     if settings.compression >= 2:
         made = level2(made, settings)
-    return made.withColumn("line_no", F.row_number().over(IN_ORDER) - 1).select("doc_id", "line_no", "line")
+    return made.withColumn("line_no", F.row_number().over(in_order()) - 1).select("doc_id", "line_no", "line")

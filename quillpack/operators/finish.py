@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..config import Settings
 from ..functions import text as X
 
-IN_ORDER = Window.partitionBy("doc_id").orderBy("line_no")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def line_type(line: Column) -> Column:
@@ -20,8 +22,8 @@ def line_type(line: Column) -> Column:
 def violations(lines: DataFrame) -> DataFrame:
     """doc_id and line_no of lines outside of code blocks that stand before the first scope; the lines stay as they are."""
     line = F.col("line")
-    fence = F.last(F.when(line.isin("<<<", ">>>"), line), ignorenulls=True).over(SO_FAR)
-    scoped = F.coalesce(F.max(line.startswith("@") & ~F.coalesce(fence == "<<<", F.lit(False))).over(SO_FAR), F.lit(False))
+    fence = F.last(F.when(line.isin("<<<", ">>>"), line), ignorenulls=True).over(so_far())
+    scoped = F.coalesce(F.max(line.startswith("@") & ~F.coalesce(fence == "<<<", F.lit(False))).over(so_far()), F.lit(False))
     checked = lines.select("doc_id", "line_no", "line", F.coalesce(fence == "<<<", F.lit(False)).alias("inside"), scoped.alias("scoped"))
     return checked.where(~F.col("inside") & ~F.col("scoped") & ~line.isin("<<<", ">>>") & ~line.startswith("~") & (line != "")).select("doc_id", "line_no")
 
@@ -32,7 +34,7 @@ def anchored(lines: DataFrame, settings: Settings) -> DataFrame:
         return lines
     line = F.col("line")
     scope = line.startswith("@")
-    made = lines.withColumn("scope", F.last(F.when(scope, line), ignorenulls=True).over(SO_FAR)).withColumn("said_at", F.last(F.when(scope, F.col("line_no")), ignorenulls=True).over(SO_FAR))
+    made = lines.withColumn("scope", F.last(F.when(scope, line), ignorenulls=True).over(so_far())).withColumn("said_at", F.last(F.when(scope, F.col("line_no")), ignorenulls=True).over(so_far()))
     again = ~scope & F.col("scope").isNotNull() & ((F.col("line_no") - F.col("said_at")) % settings.anchor_every == 0)
     both = made.select("doc_id", "line_no", F.posexplode(F.when(again, F.array("scope", "line")).otherwise(F.array("line"))).alias("sub", "line"))
     order = Window.partitionBy("doc_id").orderBy("line_no", "sub")

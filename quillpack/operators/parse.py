@@ -7,11 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import patterns as P
 
-IN_ORDER = Window.partitionBy("doc_id").orderBy("line_no")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def kind_of(line: Column, t: Column) -> Column:
@@ -47,14 +53,14 @@ def table_row(t: Column) -> Column:
 def with_tables(lines: DataFrame) -> DataFrame:
     """Adds table_line: the line's place in its table (0 the header, 1 the delimiter), null outside of tables."""
     bar = F.coalesce(F.col("t").contains("|"), F.lit(False))
-    after = F.lead("t").over(IN_ORDER)
+    after = F.lead("t").over(in_order())
     made = (
         lines.withColumn("bar", bar)
         .withColumn("header", F.col("bar") & ~F.col("kind").isin("blank", "thematic", "heading", "block") & F.coalesce(after.rlike(P.DELIMITER) & after.contains("---"), F.lit(False)))
-        .withColumn("opens", F.col("bar") & ~F.coalesce(F.lag("bar").over(IN_ORDER), F.lit(False)))
-        .withColumn("island", F.sum(F.col("opens").cast("int")).over(SO_FAR))
+        .withColumn("opens", F.col("bar") & ~F.coalesce(F.lag("bar").over(in_order()), F.lit(False)))
+        .withColumn("island", F.sum(F.col("opens").cast("int")).over(so_far()))
         # The first header since the island of lines with a bar began.
-        .withColumn("seen", F.max(F.when(F.col("header"), F.struct("island", (-F.col("line_no")).alias("n")))).over(SO_FAR))
+        .withColumn("seen", F.max(F.when(F.col("header"), F.struct("island", (-F.col("line_no")).alias("n")))).over(so_far()))
     )
     inside = F.col("bar") & (F.col("seen.island") == F.col("island"))
     return made.withColumn("table_line", F.when(inside, F.col("line_no") + F.col("seen.n"))).drop("header", "opens", "island", "seen")
@@ -67,14 +73,14 @@ def with_nodes(lines: DataFrame) -> DataFrame:
     starts_text = free & F.col("bar") & (F.col("kind") == "text")
     made = lines.withColumn("soft", soft).withColumn("bar_text", starts_text)
     # In a run of soft lines everything from its first text on is one paragraph, or all of it if a line with a bar began one.
-    made = made.withColumn("opens", F.col("soft") & ~F.coalesce(F.lag("soft").over(IN_ORDER), F.lit(False)))
-    made = made.withColumn("run", F.sum(F.col("opens").cast("int")).over(SO_FAR)).withColumn("joined", F.col("opens") & F.coalesce(F.lag("bar_text").over(IN_ORDER), F.lit(False)))
-    state = F.max(F.when(F.col("soft") & (F.col("joined") | (F.col("kind") == "text")), F.struct("run", (-F.col("line_no")).alias("n"), F.col("joined").alias("j")))).over(SO_FAR)
+    made = made.withColumn("opens", F.col("soft") & ~F.coalesce(F.lag("soft").over(in_order()), F.lit(False)))
+    made = made.withColumn("run", F.sum(F.col("opens").cast("int")).over(so_far())).withColumn("joined", F.col("opens") & F.coalesce(F.lag("bar_text").over(in_order()), F.lit(False)))
+    state = F.max(F.when(F.col("soft") & (F.col("joined") | (F.col("kind") == "text")), F.struct("run", (-F.col("line_no")).alias("n"), F.col("joined").alias("j")))).over(so_far())
     made = made.withColumn("state", state)
     in_paragraph = F.col("soft") & (F.col("state.run") == F.col("run"))
     begins = in_paragraph & (F.col("state.n") == -F.col("line_no")) & ~F.col("state.j")
     start = F.when(F.col("table_line").isNotNull(), F.col("table_line") == 0).when(F.col("soft"), F.coalesce(begins, F.lit(False))).otherwise(True)
-    made = made.withColumn("node_no", F.sum(start.cast("int")).over(SO_FAR) - 1)
+    made = made.withColumn("node_no", F.sum(start.cast("int")).over(so_far()) - 1)
     dropped = F.col("soft") & ~F.coalesce(in_paragraph, F.lit(False)) | F.coalesce(F.col("table_line") == 1, F.lit(False))
     return made.withColumn("node_no", F.when(~dropped, F.col("node_no"))).drop("soft", "bar_text", "opens", "run", "joined", "state")
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..config import Settings
 from ..functions import text as X
 
-IN_ORDER = Window.partitionBy("doc_id").orderBy("node_no")
-SO_FAR = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
 CONTENT = ("paragraph", "list_item", "kv", "table", "block")
 
 
+def so_far(last: int = 0) -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, last)
+
+
 def named(nodes: DataFrame, settings: Settings) -> DataFrame:
     """Adds scope: the scope that a heading names, null for other nodes; may be empty."""
     heading = F.col("kind") == "heading"
@@ -22,7 +24,7 @@ def named(nodes: DataFrame, settings: Settings) -> DataFrame:
         return made.withColumnRenamed("own", "scope")
     # The latest heading of each level; it is on the stack unless a later one of a lower level closed it.
     last = [f"h{i}" for i in range(1, 7)]
-    made = made.select("*", *[F.last(F.when(F.col("level") == i, F.struct("node_no", "own")), ignorenulls=True).over(SO_FAR).alias(f"h{i}") for i in range(1, 7)])
+    made = made.select("*", *[F.last(F.when(F.col("level") == i, F.struct("node_no", "own")), ignorenulls=True).over(so_far()).alias(f"h{i}") for i in range(1, 7)])
     stack = []
     for i, column in enumerate(last, 1):
         above = [F.coalesce(F.col(f"{c}.node_no"), F.lit(-1)) for c in last[: i - 1]]
@@ -37,7 +39,7 @@ def announced(nodes: DataFrame) -> DataFrame:
     """Adds announce: the scope to say at a heading, if it isn't the current one, and is_root: the node before which @root stands."""
     real = F.when(F.col("scope") != "", F.col("scope"))
     content = F.col("kind").isin(*CONTENT)
-    made = nodes.withColumn("named_before", F.last(real, ignorenulls=True).over(BEFORE)).withColumn("content_before", F.coalesce(F.max(content & F.col("named_before").isNull()).over(BEFORE), F.lit(False)))
+    made = nodes.withColumn("named_before", F.last(real, ignorenulls=True).over(so_far(-1))).withColumn("content_before", F.coalesce(F.max(content & F.col("named_before").isNull()).over(so_far(-1)), F.lit(False)))
     current = F.coalesce("named_before", F.when(F.col("content_before"), "root"))
     announce = F.when(real.isNotNull() & ~current.eqNullSafe(real), real)
     root = content & F.col("named_before").isNull() & ~F.col("content_before")

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: .md, .markdown and .llmd in any case; other files aren't even listed.
-MARKDOWN = "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN],[lL][lL][mM][dD]}"
+#: Endings of the files that are read, in any case; others can be given, such as that of texts compiled before.
+ENDINGS = ("md", "markdown")
 FILES = "doc_id string, text string"
 
 
+def pattern(endings: tuple[str, ...] = ENDINGS) -> str:
+    """A file name pattern for these endings in any case; other files aren't even listed."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings) + "}"
+
+
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that exist; inputs that don't are passed over."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -17,12 +22,12 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p, path in made if path.getFileSystem(conf).exists(path)]
 
 
-def read_markdown(spark: SparkSession, *paths: str) -> DataFrame:
+def read_markdown(spark: SparkSession, *paths: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
     """doc_id (the file's path) and text of all Markdown files, folders with all that is below them."""
     found = existing(spark, list(paths))
     if not found:
         return spark.createDataFrame([], FILES)
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", MARKDOWN).text(found)
+    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern(endings)).text(found)
     return read.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 

@@ -10,12 +10,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..config import Settings
 from ..plans.compile import compile_corpus
-from ..sources.files import MARKDOWN
+from ..sources.files import ENDINGS, pattern
 
 
-def markdown_stream(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
+def markdown_stream(spark: SparkSession, path: str, per_batch: int = 1000, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
     """New Markdown files below a folder as they appear: doc_id (the file's path) and text."""
-    read = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", MARKDOWN).option("maxFilesPerTrigger", per_batch)
+    read = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern(endings)).option("maxFilesPerTrigger", per_batch)
     return read.load(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
