@@ -99,9 +99,11 @@ def learn(of: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float
     """``of``: the row of each feature, in order; ``grade``: that of each row."""
     n = len(grade)
     common = np.bincount(feature, minlength=1 << HASH_BITS)
-    used = (common >= LEAST_DOCS)[feature]
-    ids, feature = np.unique(feature[used], return_inverse=True)
-    of = of[used]
+    ids = np.flatnonzero(common >= LEAST_DOCS)
+    number = np.full(1 << HASH_BITS, -1, np.int32)
+    number[ids] = np.arange(len(ids))
+    feature = number[feature]
+    of, feature = of[feature >= 0], feature[feature >= 0]
     at = np.searchsorted(of, np.arange(n + 1))
     w, squares = np.zeros(len(ids)), np.full(len(ids), 1e-2)
     # thresholds a and a + exp(b), from the grades' shares
@@ -153,14 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     docs = only(docs, doc_id="bigint", text="string").where("text is not null")
     # At most fit_rows rows are broadcast, and as many come back.
     rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "grade", "h").mapInArrow(featured, "grade int, h bigint, features array<int>")
-    found = rows.toArrow()
+    found = rows.withColumn("tie", F.xxhash64("features")).toArrow()
     if not found.num_rows:
         return None
-    found = found.combine_chunks()
-    lists, h, y = found["features"].to_pylist(), found["h"].to_numpy(), found["grade"].to_numpy()
-    order = sorted(range(len(lists)), key=lambda i: (h[i], y[i], lists[i]))
-    of = np.repeat(np.arange(len(order)), [len(lists[i]) for i in order])
-    return learn(of, np.array([f for i in order for f in lists[i]], np.int64), y[order].astype(np.int64))
+    lists = found["features"].combine_chunks()
+    h, y, tie = (found[c].to_numpy() for c in ("h", "grade", "tie"))
+    offsets, flat = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))), lists.flatten().to_numpy()
+    order = np.lexsort((tie, y, h))
+    of = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(offsets)[order])
+    return learn(of, flat[bpe.ragged(offsets, order)], y[order].astype(np.int64))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
