@@ -27,13 +27,13 @@ def read_markdown(spark: SparkSession, *paths: str, endings: tuple[str, ...] = E
     found = existing(spark, list(paths))
     if not found:
         return spark.createDataFrame([], FILES)
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern(endings)).text(found)
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern(endings)).text(found, wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_schemas(spark: SparkSession, *paths: str) -> DataFrame:
     """schema_id (the file's path) and json of all .json files."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(list(paths))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(list(paths), wholetext=True)
     return read.select(F.col("_metadata.file_path").alias("schema_id"), F.col("value").alias("json"))
 
 
