@@ -73,7 +73,7 @@ def compiled(documents, text, **given):
     [
         ("# A b\n\n## C\nword", {"scope_mode": "concat"}, ["@a_b", "@a_b_c", "word"]),
         ("# A\nx one\n# A\nx two", {}, ["@a", "x one", "x two"]),
-        ("plain words.\nsame sentence", {}, ["@root", "plain words. same sentence"]),
+        ("plain words.\nsame sentence", {}, ["@root", "plain words. sentence"]),
         ("rate_limit_a: 1\nrate_limit_b: 2\nrate_limit_c: 3", {}, ["@root", ":_pfx=rate_limit_", ":a=1 b=2 c=3"]),
         ("a: 1\n\nb: 2", {}, ["@root", ":a=1", ":b=2"]),
         ("a: 1\n---\nb: 2", {}, ["@root", ":a=1 b=2"]),
