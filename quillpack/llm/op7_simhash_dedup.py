@@ -4,6 +4,12 @@ A document's fingerprint has ``BITS`` bits: each is the majority of that bit ove
 pairs of neighbouring words (its single word, if it has but one). Documents within ``RADIUS`` bits of each other are near
 duplicates; groups are the connected components, and the first document of each by id stays.
 
+The radius follows from the copies to be found: those that share at least half of all their distinct runs of three words
+(Jaccard), which is about one word changed in eight. Of such pairs of different texts of 30 words or more at the 0.1 scale
+1,234 of 1,259 (98 %) are within 28 bits - 836 (66 %) are within 20 -, and of 589 texts that have an earlier copy 9 stay;
+from 0.5 to 0.6 it is 25 of 33 pairs. Of the 1,247 pairs of any length within 28 bits 6 share less than half, none less
+than 0.3. Two unrelated fingerprints of even bits are within 28 bits with probability 5e-11, so some meet among many.
+
 Equal fingerprints are one. The distinct ones, in order of their number of one bits, are cut into tiles; every pair of
 tiles is compared in full with exclusive or and bit counts, except those whose bit counts differ by more than the radius
 - in them no two fingerprints can be near. The same test skips blocks within a pair of tiles. What a pair of tiles finds
@@ -29,7 +35,7 @@ from .common import only, parts, stored, table
 from .groups import components
 from .op10_bpe_codec import slices
 
-BITS, RADIUS = 128, 20
+BITS, RADIUS = 128, 28
 #: Rows of a tile at most, and the least number of tiles, so that small inputs are compared in parallel as well.
 TILE_ROWS, LEAST_TILES, BLOCK = 1 << 18, 12, 2048
 _SECOND = np.uint64(0x6A09E667F3BCC909)
@@ -83,15 +89,15 @@ def blocks(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tu
         low, high = np.searchsorted(cb, ca[i] - radius), np.searchsorted(cb, ca[min(i + 63, len(a) - 1)] + radius, "right")
         for j in range(max(int(low), i if same else 0), int(high), BLOCK):
             to = min(j + BLOCK, int(high))
-            near = np.bitwise_count(rows[:, :1] ^ b0[j:to]) <= radius
-            x, y = np.nonzero(near)
-            if len(x):
-                y += j
+            # Both halves at once, in bytes: near pairs are so few that most blocks end here.
+            d = np.bitwise_count(rows[:, :1] ^ b0[j:to])
+            d += np.bitwise_count(rows[:, 1:] ^ b1[j:to])
+            near = d <= radius
+            if near.any():
+                x, y = np.nonzero(near)
                 x += i
-                d = np.bitwise_count(a[x, 0] ^ b0[y]).astype(np.int32) + np.bitwise_count(a[x, 1] ^ b1[y])
-                keep = d <= radius
-                if same:
-                    keep &= x < y
+                y += j
+                keep = x < y if same else np.ones(len(x), bool)
                 if keep.any():
                     yield x[keep], y[keep]
 

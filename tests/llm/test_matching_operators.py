@@ -171,6 +171,21 @@ def test_simhash_edges(documents):
     assert sorted(r.doc_id for r in simhash.one_of_each(repeats).collect()) == [1, 2]
 
 
+def test_near_copies_by_shared_runs(documents):
+    """Copies with one word in twenty changed, held against the share of common three-word runs, not the fingerprints."""
+    rng = random.Random(8)
+    known = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(120):
+        text = rng.choices(known, k=200)
+        copy = [rng.choice(known) if rng.random() < 0.05 else w for w in text]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    runs = {i: set(zip(w, w[1:], w[2:])) for i, t in rows for w in [t.split()]}
+    want = {(a, b) for a, b in combinations(sorted(runs), 2) if len(runs[a] & runs[b]) >= 0.5 * len(runs[a] | runs[b])}
+    made = {(r.kept_doc_id, r.doc_id) for r in simhash.near_duplicates(documents(*rows)).collect() if r.doc_id != r.kept_doc_id}
+    assert len(want) > 100 and len(made & want) >= 0.97 * len(want) and all(b == a + 1 and a % 2 == 0 for a, b in made)
+
+
 def test_tiles(spark):
     """Many small tiles give what one gives."""
     rng = np.random.default_rng(4)
