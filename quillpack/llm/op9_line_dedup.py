@@ -2,7 +2,8 @@
 
 Two lines are alike if they are equal, or if both have at least ``LEAST_CHARS`` characters and an edit distance of at
 most ``THRESHOLD``. An occurrence of a line is dropped if an alike line occurs earlier, by (doc_id, line number); the
-row names the earliest one. Lines are compared without white space at their ends; blank lines are never dropped.
+row names the earliest one. Lines are compared without white space at their ends; blank lines are never dropped. The
+threshold doesn't grow with the length, so a long line with one word replaced is no repeat; the README has the share.
 
 Lines of each length are cut into ``THRESHOLD + 1`` segments; a line within the threshold has one of them unchanged, at
 one of few places, so each line probes the segment index of every admissible length with these substrings only
