@@ -87,11 +87,3 @@ def shingles_of(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = (out + hashes[i : len(out) + i]) * np.uint64(_BASE)
     return mixed(out)
-
-
-def text_hash(text: str) -> int:
-    """Signed 64-bit hash of a whole text."""
-    import xxhash
-
-    x = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return x - (1 << 64) if x >> 63 else x

@@ -101,6 +101,15 @@ def test_decontamination(spark, documents):
     assert leaks.contaminated(documents(), items).collect() == [] and leaks.contaminated(documents(*rows), items.limit(0)).collect() == []
 
 
+def test_decontamination_tells_texts_of_one_id_apart(spark, documents):
+    item = prose(1, 40)
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    bad, fine = [item, item + " " + prose(3, 20)], [prose(7, 90), None]
+    rows = [(i, t) for i in (None, 5) for t in bad + fine]
+    assert sorted(((r.doc_id, r.text) for r in leaks.clean(documents(*rows), items).collect()), key=repr) == sorted(((i, t) for i in (None, 5) for t in fine), key=repr)
+    assert sorted((repr(r.doc_id), r.item_id, r.containment) for r in leaks.contaminated(documents(*rows), items).collect()) == [("5", 1, 1.0)] * 2 + [("None", 1, 1.0)] * 2
+
+
 # 5
 
 
