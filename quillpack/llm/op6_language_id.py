@@ -8,7 +8,9 @@ length under a language is an exact sum of integers over all its bytes. The lang
 ``SLACK_BITS``, or if it has no text.
 
 The trees are fitted on a bounded sample of labelled documents: of each language the ``SAMPLE_DOCS`` documents whose
-ids hash lowest, at most ``SAMPLE_BYTES`` bytes.
+ids hash lowest, at most ``SAMPLE_BYTES`` bytes. These bytes are shared between the documents: all texts up to some
+length are used whole, longer ones are cut to their first bytes of that length (1,562 at least, if there are as many
+documents as may be), so no long text displaces the others. Scoring covers whole texts.
 
 Defined results: null, empty and blank text is rejected with language null and 0 bits; repeated rows give a row each;
 without any labelled text everything is rejected; columns other than doc_id and text (lang when fitting) aren't looked at.
@@ -132,6 +134,16 @@ def build(samples: dict[str, list[bytes]], least: int = LEAST_COUNT) -> Model |
     return Model(languages, symbol, context, bits)
 
 
+def fair_share(sizes: list[int], total: int) -> int:
+    """The length to cut texts of these sizes to, so that all have room and together ``total`` at most."""
+    for at, size in enumerate(sorted(sizes)):
+        each = total // (len(sizes) - at)
+        if size > each:
+            return each
+        total -= size
+    return max(sizes, default=0)
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """The bounded sample is chosen from ids alone, then read: a document is never sorted or shuffled."""
     docs = only(docs, doc_id="bigint", text="string", lang="string")
@@ -146,15 +158,17 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     ids = sorted({r.doc_id for r in chosen.toLocalIterator()})
     if not ids:
         return None
-    samples: dict[str, list[bytes]] = {}
-    room: dict[str, int] = {}
+    texts: dict[str, list[bytes]] = {}
     rows = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.substring("text", 1, sample_bytes).alias("text"), order.alias("h"))
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r.lang, r.h, r.text)):
-        left = room.setdefault(r.lang, sample_bytes)
-        raw = r.text.encode("utf-8", "surrogatepass")[:left]
-        if raw:
-            samples.setdefault(r.lang, []).append(raw)
-            room[r.lang] -= len(raw)
+        if r.text:
+            texts.setdefault(r.lang, []).append(r.text.encode("utf-8", "surrogatepass"))
+    samples: dict[str, list[bytes]] = {}
+    for lang, raws in texts.items():
+        raws = raws[:sample_docs]  # ids that repeat may bring more
+        each = fair_share([len(r) for r in raws], sample_bytes)
+        if each:
+            samples[lang] = [r[:each] for r in raws]
     return build(samples)
 
 

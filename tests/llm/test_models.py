@@ -23,6 +23,23 @@ def test_language_held_out(docs):
     assert len(right) > 0.9 * len(made) and np.mean(right) >= 0.97
 
 
+def test_a_long_text_leaves_room_for_the_others(spark):
+    lowest = spark.range(40).orderBy(F.xxhash64("id")).first().id
+    words = {"a": "the cat sat on the mat and saw that hat", "b": "der hund und die katze sind nicht hier"}
+    rows = [(i, "z" * 50_000 if i == lowest else words["ab"[i % 2]] * 5, "ab"[i % 2]) for i in range(40)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_bytes=10_000)
+    assert model.languages == ("a", "b")
+    raws = [words["a"].encode(), words["b"].encode()]
+    assert model.score(raws).argmin(1).tolist() == [0, 1] and (model.score(raws).min(1) < 2 * language.UNIT * np.array([len(r) for r in raws])).all()
+
+
+def test_shares_fill_the_room():
+    assert language.fair_share([10, 5, 1000], 100) == 85 and language.fair_share([3, 4], 100) == 4 and language.fair_share([], 9) == 0
+    for sizes in ([7] * 30, list(range(60)), [1, 1, 500, 900]):
+        each = language.fair_share(sizes, 150)
+        assert sum(min(x, each) for x in sizes) <= 150 < sum(min(x, each + 1) for x in sizes)
+
+
 def test_code_lengths_are_those_of_a_distribution():
     model = language.build({"a": [b"the cat sat on the mat, the hat"] * 3, "b": [b"der hund und die katze"] * 3})
     k = int(model.symbol[language.PAD]) + 1
