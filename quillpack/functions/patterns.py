@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ SENTENCE_END = rf"(?<=[.!?]){S}+(?=[A-Z])"
 IDENTIFIER = r"^[A-Za-z._-]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used: an expression is otherwise repeated at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def literal(text: str) -> str:
     """A pattern for exactly this text."""
     return "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in text)

@@ -123,8 +123,8 @@ def is_boolean(cell: Column) -> Column:
 
 def boolean(c: Column) -> Column:
     """yes, no, true, false, enabled and disabled as one letter; anything else as it is."""
-    known = F.lower(P.strip(c))
-    return reduce(lambda made, pair: F.when(known == pair[0], pair[1]).otherwise(made), BOOLEANS.items(), c)
+    letters = F.create_map(*[F.lit(x) for pair in BOOLEANS.items() for x in pair])
+    return P.let(c, lambda x: F.coalesce(F.element_at(letters, F.lower(P.strip(x))), x))
 
 
 # Dictionaries
@@ -142,40 +142,38 @@ def _longest_first(pairs) -> list[tuple[str, str]]:
     return sorted(pairs, key=lambda p: -len(p[0]))
 
 
-def _any(c: Column, pairs) -> Column:
-    """Whether any of them is in the text, in lower case: plain substring tests, far cheaper than one large alternation."""
-    low = F.lower(c)
-    return reduce(lambda a, b: a | b, [low.contains(k.lower()) for k, _ in pairs])
+def _folded(c: Column) -> Column:
+    """Lower case in which every letter that a pattern takes for an ASCII one in either case is that letter."""
+    return F.lower(F.translate(c, "ſKİ", "ski"))
 
 
-def phrases(c: Column, settings: Settings) -> Column:
-    """Each phrase anywhere in the text, in any case, by its replacement; the longest first."""
-    return reduce(lambda made, p: P.replace(made, "(?iu)" + P.literal(p[0]), P.quoted(p[1])), _longest_first(settings.phrases), c)
+def _known(pairs) -> Column:
+    """For each phrase: in lower case, as a pattern, its replacement; and as a pattern after a number."""
+    rows = [(k.translate(str.maketrans("ſKİ", "ski")).lower(), "(?iu)" + P.literal(k), P.quoted(v), rf"(?iu)(\p{{Nd}}+){P.S}+{P.literal(k)}") for k, v in _longest_first(pairs)]
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("kpvn", row)]) for row in rows])
 
 
-def unit_numbers(c: Column, unit: str, short: str) -> Column:
-    return P.replace(c, rf"(?iu)(\p{{Nd}}+){P.S}+{P.literal(unit)}", "$1" + P.quoted(short))
+def _swapped(c: Column, pairs, by) -> Column:
+    """Each phrase in turn, a pattern being applied only where a plain substring test finds the phrase.
+
+    A fold over a constant array: the expression stays as small as one step, however many phrases there are. Most texts
+    hold none, and for them the fold isn't begun: a replacement can bring a phrase into being only where one was before.
+    """
+    if not pairs:
+        return c
+    step = lambda made, p: F.when(_folded(made).contains(p["k"]), by(made, p)).otherwise(made)
+    known = _known(pairs)
+    return P.let(_folded(c), lambda low: F.when(F.exists(known, lambda p: low.contains(p["k"])), F.aggregate(known, c, step)).otherwise(c))
 
 
-def unit_alone(c: Column, unit: str, short: str) -> Column:
-    return P.replace(c, "(?iu)" + P.literal(unit), P.quoted(short))
+def phrases(c: Column, settings: Settings) -> Column:
+    """Each phrase anywhere in the text, in any case, by its replacement; the longest first."""
+    return _swapped(c, settings.phrases, lambda made, p: F.regexp_replace(made, p["p"], p["v"]))
 
 
 def units(c: Column, settings: Settings) -> Column:
     """Each unit after a number, then anywhere; the longest first."""
-    return reduce(lambda made, p: unit_alone(unit_numbers(made, *p), *p), _longest_first(settings.units), c)
-
-
-def guarded(c: Column, settings: Settings, kind: str) -> Column:
-    """``phrases`` or ``units`` behind one test for any of them; ``c`` is used more than once, so it should be a plain column.
-
-    A replacement can bring a later phrase into being only where some phrase was there before, so the test loses nothing.
-    """
-    pairs = settings.phrases if kind == "phrases" else settings.units
-    if not pairs:
-        return c
-    made = phrases(c, settings) if kind == "phrases" else units(c, settings)
-    return made if any(not k for k, _ in pairs) else F.when(_any(c, pairs), made).otherwise(c)
+    return _swapped(c, settings.units, lambda made, p: F.regexp_replace(F.regexp_replace(made, p["n"], F.concat(F.lit("$1"), p["v"])), p["p"], p["v"]))
 
 
 def tokens(c: Column) -> Column:

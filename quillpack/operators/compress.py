@@ -39,8 +39,8 @@ def level2(lines: DataFrame, settings: Settings) -> DataFrame:
     kind = F.when(fixed, "fixed").when(X.is_text_line(F.col("line")), "text").when(F.col("line").startswith("-"), "list").when(F.col("line").startswith(":"), "attribute").otherwise("fixed")
     made = lines.withColumn("line_kind", kind)
     made = made.withColumn("body", F.when(F.col("line_kind") == "fixed", None).when(F.col("line_kind") == "text", F.col("line")).otherwise(F.substring("line", 2, 1 << 30)))
-    made = made.withColumn("phrased", X.guarded(F.col("body"), settings, "phrases"))
-    made = made.withColumn("united", X.guarded(F.col("phrased"), settings, "units"))
+    made = made.withColumn("phrased", X.phrases(F.col("body"), settings))
+    made = made.withColumn("united", X.units(F.col("phrased"), settings))
     kept = X.without_stopwords(F.col("united"), settings)
     made = made.withColumn("kept", F.when(F.col("line_kind").isin("text", "list"), kept))
     whole = F.when(F.col("line_kind") == "list", F.concat(F.lit("-"), F.col("kept"))).otherwise(F.col("kept"))

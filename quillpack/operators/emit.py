@@ -34,29 +34,31 @@ def common_prefix(keys: Column) -> Column:
 
     The least and the greatest key have in common what all have.
     """
-    least, most = F.array_min(keys), F.array_max(keys)
-    lengths = F.filter(F.sequence(F.lit(0), F.length(least)), lambda n: F.substring(least, F.lit(1), n) == F.substring(most, F.lit(1), n))
-    return F.when(F.size(keys) < 2, "").otherwise(F.regexp_extract(F.substring(least, F.lit(1), F.array_max(lengths)), r"^(.+[-_.])", 1))
+    same = F.zip_with(F.split(F.array_min(keys), ""), F.split(F.array_max(keys), ""), lambda a, b: a.eqNullSafe(b))
+    length = P.let(F.array_position(same, False).cast("int"), lambda n: F.when(n > 0, n - 1).otherwise(F.length(F.array_min(keys))))
+    return F.when(F.size(keys) < 2, "").otherwise(F.regexp_extract(F.substring(F.array_min(keys), F.lit(1), length), r"^(.+[-_.])", 1))
 
 
 def extracted_prefix(pairs: Column, settings: Settings) -> Column:
     """The prefix to say once, or nothing."""
     if settings.compression < 1 or not settings.prefix_extraction or settings.min_prefix_pct > 1:
         return F.lit("")
-    found = common_prefix(F.transform(pairs, lambda x: x["k"]))
-    return F.when((F.size(pairs) >= 3) & (F.length(found) >= settings.min_prefix_len), found).otherwise("")
+    found = P.let(F.transform(pairs, lambda x: x["k"]), common_prefix)
+    return P.let(found, lambda p: F.when((F.size(pairs) >= 3) & (F.length(p) >= settings.min_prefix_len), p).otherwise(""))
 
 
 def pair_lines(pairs: Column, settings: Settings) -> Column:
-    """Attribute lines of a run of pairs."""
-    said = lambda x: F.concat(x["k"], F.lit("="), x["v"])
+    """Attribute lines of a run of pairs, in time linear in the run. Keys and values are parts of lines: they hold no newline."""
     if settings.compression < 1:
-        return F.transform(pairs, lambda x: F.concat(F.lit(":"), said(x)))
-    prefix, n = extracted_prefix(pairs, settings), settings.max_kv_per_line
-    short = F.transform(pairs, lambda x: F.concat(F.substring(x["k"], F.length(prefix) + 1, F.length(x["k"])), F.lit("="), x["v"]))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / n).cast("int")), lambda i: F.concat(F.lit(":"), F.array_join(F.slice(short, i * n + 1, F.lit(n)), " ")))
-    head = F.when(prefix != "", F.array(F.concat(F.lit(":_pfx="), prefix))).otherwise(none())
-    return F.when(F.size(pairs) == 0, none()).otherwise(F.concat(head, chunks))
+        return F.transform(pairs, lambda x: F.concat(F.lit(":"), x["k"], F.lit("="), x["v"]))
+
+    def lines(prefix: Column) -> Column:
+        before = lambda i: F.when(i == 0, ":").when(i % settings.max_kv_per_line == 0, "\n:").otherwise(" ")
+        said = F.transform(pairs, lambda x, i: F.concat(before(i), F.substring(x["k"], F.length(prefix) + 1, F.length(x["k"])), F.lit("="), x["v"]))
+        head = F.when(prefix != "", F.concat(F.lit(":_pfx="), prefix, F.lit("\n"))).otherwise("")
+        return F.split(F.concat(head, F.array_join(said, "")), "\n", -1)
+
+    return F.when(F.size(pairs) == 0, none()).otherwise(P.let(extracted_prefix(pairs, settings), lines))
 
 
 def with_lines(nodes: DataFrame, settings: Settings) -> DataFrame:

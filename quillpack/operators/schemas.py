@@ -49,8 +49,8 @@ def richest(properties: DataFrame) -> DataFrame:
 
 def compressed(rows: DataFrame, column: str, settings: Settings) -> DataFrame:
     """Phrases, units, booleans, stopwords, final full stop and white space of a column of descriptions."""
-    rows = rows.withColumn(column, X.guarded(F.col(column), settings, "phrases"))
-    rows = rows.withColumn(column, X.guarded(F.col(column), settings, "units"))
+    rows = rows.withColumn(column, X.phrases(F.col(column), settings))
+    rows = rows.withColumn(column, X.units(F.col(column), settings))
     if settings.bool_compress:
         words = F.transform(X.tokens(F.col(column)), lambda t: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in X.BOOLEANS.items() for x in pair]), F.lower(t)), t))
         rows = rows.withColumn(column, F.array_join(words, " "))

@@ -37,8 +37,8 @@ def boolean_columns(rows: Column, settings: Settings) -> Column:
 
 
 def cell(text: Column, index: Column, flags: Column, settings: Settings) -> Column:
-    plain = X.inline(text, settings)
-    return F.when(F.coalesce(F.get(flags, index), F.lit(False)), X.boolean(plain)).otherwise(plain)
+    flagged = F.coalesce(F.get(flags, index), F.lit(False))
+    return P.let(X.inline(text, settings), lambda plain: F.when(flagged, X.boolean(plain)).otherwise(plain))
 
 
 def _joined(row: Column, flags: Column, settings: Settings, skip: int = 0) -> Column:

@@ -382,13 +382,13 @@ def plain_text_lines(spark, sf_dir):
 @query(f"SELECT doc_id, line_no, {_phrased('line')} AS line FROM (SELECT doc_id, line_no, line || ' In order to Approximately configure, as well as' AS line FROM ({_LINES}))")
 def replaced_phrases(spark, sf_dir):
     lines = _lines(spark, sf_dir).withColumn("line", F.concat("line", F.lit(" In order to Approximately configure, as well as")))
-    return lines.select("doc_id", "line_no", X.guarded(F.col("line"), standard(), "phrases").alias("line"))
+    return lines.select("doc_id", "line_no", X.phrases(F.col("line"), standard()).alias("line"))
 
 
 @query(f"SELECT doc_id, line_no, {_united('line')} AS line FROM (SELECT doc_id, line_no, line || ' 10 Milliseconds, ' || CAST(doc_id AS VARCHAR) || ' megabytes per minute' AS line FROM ({_LINES}))")
 def replaced_units(spark, sf_dir):
     lines = _lines(spark, sf_dir).withColumn("line", F.concat("line", F.lit(" 10 Milliseconds, "), F.col("doc_id").cast("string"), F.lit(" megabytes per minute")))
-    return lines.select("doc_id", "line_no", X.guarded(F.col("line"), standard(), "units").alias("line"))
+    return lines.select("doc_id", "line_no", X.units(F.col("line"), standard()).alias("line"))
 
 
 @query(f"SELECT doc_id, line_no, {_stopped('line')} AS line FROM ({_LINES})")

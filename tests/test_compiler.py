@@ -65,7 +65,7 @@ def test_nodes_of_random_lines(spark, documents):
 
 def compiled(documents, text, **given):
     rows = compile_corpus(documents((1, text)), standard().override(**given)).collect()
-    return rows[0].compiled.rstrip("\n").split("\n") if rows else []
+    return rows[0].compiled.removesuffix("\n").split("\n") if rows else []
 
 
 @pytest.mark.parametrize(
@@ -81,7 +81,7 @@ def compiled(documents, text, **given):
         ("# 漢字\ntext", {}, ["@root", "text"]),
         ("```\n\n```", {"compression": 0}, ["@root", "::code", "<<<", ">>>"]),
         ("````md\n```\nx\n```\n````", {}, ["@root", "::md", "<<<", "``` x ```", ">>>"]),
-        ("```js title\nx\n```", {"compression": 0}, ["@root", "js title x"]),
+        ("```js title\nx\n```", {"compression": 0}, ["@root", "```js title x"]),
         ("| a |\n|---|\n| b |", {}, ["@root", "b"]),
         ("The a an", {}, ["@root", ""]),
         ("", {}, []),
@@ -122,8 +122,13 @@ def test_unclosed_fences(documents):
 
 
 def test_long_document(documents):
-    lines = compile_lines(documents((1, "\n".join(f"key{i}: value {i}" for i in range(20_000))))).count()
-    assert lines > 5_000
+    """A run of 20,000 pairs, and a table of as many rows."""
+    n = 20_000
+    rows = ["| Setting | Value |", "|---|---|", *[f"| opt-{i} | v{i} |" for i in range(n)]]
+    made = compile_lines(documents((1, "\n".join(f"key_{i}: value {i}" for i in range(n))), (2, "\n".join(rows)))).orderBy("doc_id", "line_no").collect()
+    pairs = lambda f: [" ".join(map(f, range(i, i + 4))) for i in range(0, n, 4)]
+    assert [r.line for r in made if r.doc_id == 1] == ["@root", *[":" + x for x in pairs(lambda i: f"key_{i}=value {i}")]]
+    assert [r.line for r in made if r.doc_id == 2] == ["@root", *[":" + x for x in pairs(lambda i: f"opt-{i}=v{i}")]]
 
 
 def test_columns(spark):
