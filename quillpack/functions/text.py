@@ -148,9 +148,10 @@ def _folded(c: Column) -> Column:
 
 
 def _known(pairs) -> Column:
-    """For each phrase: in lower case, as a pattern, its replacement; and as a pattern after a number."""
+    """For each phrase: in lower case, as a pattern, its replacement; and as a pattern after a number. One parsed constant: as columns it would be hundreds of calls."""
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = [(k.translate(str.maketrans("ſKİ", "ski")).lower(), "(?iu)" + P.literal(k), P.quoted(v), rf"(?iu)(\p{{Nd}}+){P.S}+{P.literal(k)}") for k, v in _longest_first(pairs)]
-    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("kpvn", row)]) for row in rows])
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{n}', {text(x)}" for n, x in zip("kpvn", row)) + ")" for row in rows) + ")")
 
 
 def _swapped(c: Column, pairs, by) -> Column:

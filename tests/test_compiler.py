@@ -63,36 +63,38 @@ def test_nodes_of_random_lines(spark, documents):
         assert got.get(i, []) == [(k, None if w is None else str(w)) for k, w in sequential(t)], t
 
 
-def compiled(documents, text, **given):
-    rows = compile_corpus(documents((1, text)), standard().override(**given)).collect()
-    return rows[0].compiled.removesuffix("\n").split("\n") if rows else []
-
-
-@pytest.mark.parametrize(
-    "text, given, said",
-    [
-        ("# A b\n\n## C\nword", {"scope_mode": "concat"}, ["@a_b", "@a_b_c", "word"]),
-        ("# A\nx one\n# A\nx two", {}, ["@a", "x one", "x two"]),
-        ("plain words.\nsame sentence", {}, ["@root", "plain words. sentence"]),
-        ("rate_limit_a: 1\nrate_limit_b: 2\nrate_limit_c: 3", {}, ["@root", ":_pfx=rate_limit_", ":a=1 b=2 c=3"]),
-        ("a: 1\n\nb: 2", {}, ["@root", ":a=1", ":b=2"]),
-        ("a: 1\n---\nb: 2", {}, ["@root", ":a=1 b=2"]),
-        ("text\n---", {}, ["@root", "text ---"]),
-        ("# 漢字\ntext", {}, ["@root", "text"]),
-        ("```\n\n```", {"compression": 0}, ["@root", "::code", "<<<", ">>>"]),
-        ("````md\n```\nx\n```\n````", {}, ["@root", "::md", "<<<", "``` x ```", ">>>"]),
-        ("```js title\nx\n```", {"compression": 0}, ["@root", "```js title x"]),
-        ("| a |\n|---|\n| b |", {}, ["@root", "b"]),
-        ("The a an", {}, ["@root", ""]),
-        ("", {}, []),
-        ("never the end...", {}, ["@root", "never end..."]),
-        ("| K | Value |\n|---|---|\n| a b | yes |\n| c | no |", {}, ["@root", ":a_b=Y c=N"]),
-        ("| K | X |\n|---|---|\n| 1 | yes |\n| 1 | no |", {}, ["@root", ":_cols=k¦x", "1¦Y", "1¦N"]),
-        ("> quoted **bold** [l](http://u)", {"keep_urls": True}, ["@root", "> quoted bold l<http://u>"]),
-    ],
-)
-def test_cases(documents, text, given, said):
-    assert compiled(documents, text, **given) == said
+CASES = [
+    ("# A b\n\n## C\nword", {"scope_mode": "concat"}, ["@a_b", "@a_b_c", "word"]),
+    ("# A\nx one\n# A\nx two", {}, ["@a", "x one", "x two"]),
+    ("plain words.\nsame sentence", {}, ["@root", "plain words. sentence"]),
+    ("rate_limit_a: 1\nrate_limit_b: 2\nrate_limit_c: 3", {}, ["@root", ":_pfx=rate_limit_", ":a=1 b=2 c=3"]),
+    ("a: 1\n\nb: 2", {}, ["@root", ":a=1", ":b=2"]),
+    ("a: 1\n---\nb: 2", {}, ["@root", ":a=1 b=2"]),
+    ("text\n---", {}, ["@root", "text ---"]),
+    ("# 漢字\ntext", {}, ["@root", "text"]),
+    ("```\n\n```", {"compression": 0}, ["@root", "::code", "<<<", ">>>"]),
+    ("````md\n```\nx\n```\n````", {}, ["@root", "::md", "<<<", "``` x ```", ">>>"]),
+    ("```js title\nx\n```", {"compression": 0}, ["@root", "```js title x"]),
+    ("| a |\n|---|\n| b |", {}, ["@root", "b"]),
+    ("The a an", {}, ["@root", ""]),
+    ("", {}, []),
+    ("never the end...", {}, ["@root", "never end..."]),
+    ("| K | Value |\n|---|---|\n| a b | yes |\n| c | no |", {}, ["@root", ":a_b=Y c=N"]),
+    ("| K | X |\n|---|---|\n| 1 | yes |\n| 1 | no |", {}, ["@root", ":_cols=k¦x", "1¦Y", "1¦N"]),
+    ("> quoted **bold** [l](http://u)", {"keep_urls": True}, ["@root", "> quoted bold l<http://u>"]),
+]
+
+
+def test_cases(documents):
+    """Single documents and what is said of them, compiled together by settings."""
+    by: dict = {}
+    for i, (text, given, _) in enumerate(CASES):
+        by.setdefault(tuple(sorted(given.items())), []).append((i, text))
+    said = {}
+    for given, rows in by.items():
+        said |= {r.doc_id: r.compiled.removesuffix("\n").split("\n") for r in compile_corpus(documents(*rows), standard().override(**dict(given))).collect()}
+    for i, (text, _, want) in enumerate(CASES):
+        assert said.get(i, []) == want, text
 
 
 def test_a_document_does_not_depend_on_others_or_partitions(documents):
