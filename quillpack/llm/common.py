@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +22,52 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="quillpack-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir() or made
+    global _local
+    _local = _local or tempfile.mkdtemp(prefix="quillpack-")
+    return _local
+
+
+_local = ""
+#: Folders written within the scopes that are open, innermost last.
+_open: list[list[str]] = []
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    The folder goes when the enclosing ``scratch`` ends, or ``release`` is told to, or else when the driver exits.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    if _open:
+        _open[-1].append(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._quillpack_path = path
+    return made
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``; nothing may read it any more."""
+    remove(df.sparkSession, df._quillpack_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within goes at the end, so results have to be stored outside, or written, before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
 
 
 def only(df: DataFrame, **types: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from quillpack.llm import groups
 from quillpack.llm import op1_pii as pii
 from quillpack.llm import op2_decontamination as leaks
 from quillpack.llm import op5_embedding_dedup as vectors
@@ -16,6 +17,7 @@ from quillpack.llm import op6_language_id as language
 from quillpack.llm import op7_simhash_dedup as simhash
 from quillpack.llm import op9_line_dedup as lines
 from quillpack.llm import op10_bpe_codec as codec
+from quillpack.llm import registry
 
 DATA = "/root/testdata/sf0.001"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -33,11 +35,11 @@ def sql(query):
     return {x[0]: i for i, x in enumerate(made.description)}, made.fetchall()
 
 
-@pytest.mark.parametrize("module, name", [(leaks, "op2_decontamination"), (vectors, "op5_embedding_dedup"), (lines, "op9_line_dedup")])
-def test_sql(spark, module, name):
-    made = getattr(module, name)(spark, DATA)
-    at, rows = sql(module.SQL)
-    assert sorted(at) == sorted(made.columns)
+@pytest.mark.parametrize("name", ["op2_decontamination", "op5_embedding_dedup", "planted_vectors", "op9_line_dedup"])
+def test_sql(spark, name):
+    made = registry.queries()[name](spark, DATA)
+    at, rows = sql(registry.oracle_sql()[name])
+    assert sorted(at) == sorted(made.columns) and rows
     assert sorted(map(tuple, made.select(*at).collect()), key=repr) == sorted(rows, key=repr)
 
 
@@ -123,18 +125,80 @@ def test_lattice(spark):
         assert (((y - p - v) ** 2).sum(1) >= best - 1e-9).all()
 
 
+def brute_vectors(rows, threshold=vectors.THRESHOLD):
+    """(vec_id, class_id, n_links) of each row (vec_id, vector), by comparing all."""
+    rows = sorted({(i, None if v is None else tuple(np.array(v, np.float32).tolist())) for i, v in rows if i is not None}, key=repr)
+    fine = lambda v: v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    near = {k: set() for k in range(len(rows))}
+    for a, b in combinations(range(len(rows)), 2):
+        x, y = rows[a][1], rows[b][1]
+        if fine(x) and fine(y) and len(x) == len(y) and np.dot(x, y) / (math.sqrt(np.dot(x, x)) * math.sqrt(np.dot(y, y))) >= threshold:
+            near[a].add(b)
+            near[b].add(a)
+    out = []
+    for k in near:
+        seen, todo = {k}, [k]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out.append((rows[k][0], min(rows[x][0] for x in seen), len(near[k])))
+    return sorted(out)
+
+
+def triples(made):
+    return sorted((r.vec_id, r.class_id, r.n_links) for r in made.collect())
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 32))
-    near = base[:30] + rng.standard_normal((30, 32)) * 0.2
-    every = np.concatenate([base, near])
-    rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(every)] + [(900, None, 1, 2), (901, [], 1, 2), (902, [0.0] * 32, 1, 2), (903, [float("nan")] * 32, 1, 2), (904, every[0].tolist(), 1, 2), (0, every[0].tolist(), 1, 2), (None, every[1].tolist(), 1, 2), (905, [1.0, 2.0], 1, 2), (906, [2.0, 4.0], 1, 2)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, key int, cosine int")
-    made = {(r.vec_a, r.vec_b) for r in vectors.near_pairs(df).collect()}
-    held = {i: np.array(v, np.float32).astype(float) for i, v, _, _ in rows if i is not None and v and i not in (902, 903)}
-    want = {(a, b) for a, b in combinations(sorted(held), 2) if len(held[a]) == len(held[b]) and held[a] @ held[b] / math.sqrt((held[a] @ held[a]) * (held[b] @ held[b])) >= vectors.THRESHOLD}
-    assert made <= want and len(made) >= 0.9 * len(want) and (0, 904) in made and (905, 906) in made
-    assert vectors.near_pairs(df.limit(0)).collect() == []
+    every = np.concatenate([base, base[:30] + rng.standard_normal((30, 32)) * 0.15, base[5] + rng.standard_normal((40, 32)) * 0.1])
+    rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(every)] + [(900, None, 1, 2), (901, [], 1, 2), (902, [0.0] * 32, 1, 2), (903, [float("nan")] * 32, 1, 2), (907, [float("nan")] * 32, 1, 2), (908, [None] * 32, 1, 2), (904, every[0].tolist(), 1, 2), (0, every[0].tolist(), 1, 2), (None, every[1].tolist(), 1, 2), (905, [1.0, 2.0], 1, 2), (906, [2.0, 4.0], 1, 2), (906, [3.0, -1.0], 1, 2), (906, [1e-30, 2e-30], 1, 2), (909, (every[3] * 1e30).tolist(), 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, key int, n int")
+    want = brute_vectors([r[:2] for r in rows])
+    assert triples(vectors.near_vectors(df)) == want and max(n for _, _, n in want) > 30
+    # Groups and cells cut into many small blocks give the same.
+    assert triples(vectors.near_vectors(df, block=7)) == want
+    assert vectors.near_vectors(df.limit(0)).collect() == []
+
+
+def test_copies_of_one_vector(spark):
+    """A third of all rows are one vector; they stay one class."""
+    rng = np.random.default_rng(5)
+    one, other = rng.standard_normal((2, 16)).tolist()
+    rows = [(i, one) for i in range(500)] + [(500, other)] + [(1000 + i, rng.standard_normal(16).tolist()) for i in range(900)]
+    made = triples(vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")))
+    assert made[:501] == [(i, 0, 499) for i in range(500)] + [(500, 500, 0)]
+
+
+def test_recall_at_the_threshold():
+    """Pairs whose cosine is exactly the threshold, or a little more, meet in some table."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = unit(rng.standard_normal((2000, 64))), rng.standard_normal((2000, 64))
+    y = unit(y - (y * x).sum(1, keepdims=True) * x)
+    for cosine, least in ((vectors.THRESHOLD, 0.98), (0.97, 0.997)):
+        z, met = cosine * x + math.sqrt(1 - cosine * cosine) * y, np.zeros(2000, bool)
+        for t in range(vectors.TABLES):
+            (a, pa), (b, pb) = vectors.keys(x, t), vectors.keys(z, t)
+            met |= (a == b) | (pa == b[:, None]).any(1) | (pb == a[:, None]).any(1)
+        assert met.mean() >= least
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_labels_and_components(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([10, 30, 50]))] + ([(i, i + 1) for i in range(40)] if seed == 4 else [])
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    a, b = np.array(pairs).T
+    assert groups.labels(n, a, b).tolist() == root
+    made = {r.id.k: r.root.k for r in groups.components(spark.createDataFrame([((x,), (y,)) for x, y in pairs], "x struct<k:int>, y struct<k:int>")).collect()}
+    assert made == {i: root[i] for x, y in pairs if x != y for i in (x, y)}
 
 
 # 7
