@@ -3,15 +3,19 @@
 An Aho-Corasick automaton finds anchors in the whole text: at-signs, schemes, digits and the words that announce an
 identifier. At each anchor, local parsers expand to both sides and accept only what validates:
 
-- email: a local part and a host name of two labels at least;
+- email: a local part and a host name of two labels at least, in Latin letters with or without accents;
 - url: a scheme or www. and a host; ip: four octets, or a valid IPv6 address;
 - phone: an international number, or ten digits as 3-3-4 with separators; ssn: 3-2-4 digits in assigned ranges;
 - card: 13 to 19 digits of a known issuer range that pass Luhn's check; iban: country's length and remainder 1 modulo 97;
 - account: 6 to 17 digits after an account cue; secret: a value of 8 characters at least assigned to a secret's name,
   or one of the well-known key formats.
 
-Of overlapping spans the one that begins first stays, then the longest, then the first kind in this order: secret, url,
-email, iban, card, ssn, account, phone, ip.
+Cues and schemes count in any casing. An anchor within a URL or a secret that was found isn't expanded to another of the
+same kind. Of overlapping spans the one that begins first stays, then the longest, then the first kind in this order:
+secret, url, email, iban, card, ssn, account, phone, ip.
+
+Each parser looks at a bounded stretch around its anchor, or at one that no other anchor of its kind looks at again, so
+the time is linear in the text, whatever it holds; a very long text is parsed whole.
 
 Defined results: null and empty text have no spans; repeated rows report theirs each; other columns aren't looked at; an
 empty table gives an empty result. Offsets are in characters, from 0, the end exclusive.
@@ -36,42 +40,51 @@ _RANK = {k: i for i, k in enumerate(KINDS)}
 SECRET_CUES = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "api-key", "access_key", "private_key", "auth_key")
 ACCOUNT_CUES = ("account", "acct", "konto", "cuenta", "compte")
 FIXED = {"AKIA": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"), "sk-": re.compile(r"sk-[0-9A-Za-z_-]{20,}"), "-----BEGIN ": re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,30}PRIVATE KEY-----)?")}
-_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LOCAL = re.compile(f"[{_LATIN}0-9._%+-]")
+_HOST = re.compile(rf"(?:[{_LATIN}0-9](?:[{_LATIN}0-9-]{{0,61}}[{_LATIN}0-9])?\.)+[{_LATIN}]{{2,24}}(?![{_LATIN}0-9])")
+#: A host name, with what may stand before and after it in a URL, is looked for in so many characters.
+HOST_CHARS = 512
 _URL = re.compile(r"[^\s<>\"'`|]+")
-_ADDRESS = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
-_PHONE = re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4}")
-_SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})")
-_CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
-_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
+_ADDRESS = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}", re.ASCII)
+_PHONE = re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4}", re.ASCII)
+_SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})", re.ASCII)
+_CARD = re.compile(r"\d(?:[ -]?\d){12,18}", re.ASCII)
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}", re.ASCII)
 _ASSIGNED = re.compile(r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}([\"']?)([A-Za-z0-9_./+=~-]{8,})")
-_ACCOUNT = re.compile(r"(?:[ \t]{0,2}(?:no\.?|number|nr\.?|num\.?|#|:|=|is)){0,3}[ \t]{0,2}(\d{6,17})(?!\d)", re.IGNORECASE)
+_ACCOUNT = re.compile(r"(?:[ \t]{0,2}(?:no\.?|number|nr\.?|num\.?|#|:|=|is)){0,3}[ \t]{0,2}(\d{6,17})(?!\d)", re.IGNORECASE | re.ASCII)
 _IBAN_LENGTH = dict(x.split(":") for x in "AD:24 AE:23 AT:20 BE:16 BG:22 CH:21 CY:28 CZ:24 DE:22 DK:18 EE:20 ES:24 FI:18 FR:27 GB:22 GI:23 GR:27 HR:21 HU:28 IE:22 IS:26 IT:27 LI:21 LT:20 LU:20 LV:21 MC:27 MT:31 NL:18 NO:15 PL:28 PT:25 RO:24 SA:24 SE:24 SI:19 SK:24 SM:27 TR:26".split())
 Span = tuple[int, int, str]
 
 
 @lru_cache(1)
 def anchors() -> ahocorasick.Automaton:
+    """Of text in lower case."""
     made = ahocorasick.Automaton()
-    for word in ("@", "://", "www.", "WWW.", "::", *"0123456789"):
+    for word in ("@", "://", "www.", "::", *"0123456789"):
         made.add_word(word, (word, len(word)))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                made.add_word(form, (kind, len(form)))
+            made.add_word(cue, (kind, len(cue)))
     for word in FIXED:
-        made.add_word(word, (word, len(word)))
+        made.add_word(word.lower(), (word, len(word)))
     made.make_automaton()
     return made
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character, so that places stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def _alnum(text: str, i: int) -> bool:
     return 0 <= i < len(text) and text[i].isalnum()
 
 
 def email(text: str, at: int) -> Span | None:
     start = at
-    while start and at - start < 65 and text[start - 1] in _LOCAL:
+    while start and at - start < 65 and _LOCAL.match(text, start - 1):
         start -= 1
     while start < at and text[start] in ".-%+":
         start += 1
@@ -82,17 +95,24 @@ def email(text: str, at: int) -> Span | None:
     return (start, host.end(), "email") if host else None
 
 
+def trimmed(text: str, start: int, end: int) -> int:
+    """Where a URL ends without the punctuation, and the closing brackets that it hasn't opened, after it."""
+    left = {c: text.count(o, start, end) - text.count(c, start, end) for c, o in (")(", "][", "}{")}
+    while end > start and (text[end - 1] in ".,;:!?*$%&#" or left.get(text[end - 1], 0) < 0):
+        left[text[end - 1]] = left.get(text[end - 1], 0) + 1
+        end -= 1
+    return end
+
+
 def url(text: str, start: int, host: int) -> Span | None:
-    found = _URL.match(text, host)
-    if not found:
+    """A host is sought first, near by; only the one URL that a run of characters holds is followed to its end."""
+    near = _URL.match(text, host, host + HOST_CHARS)
+    if not near:
         return None
-    end = found.end()
-    while end > host and (text[end - 1] in ".,;:!?*$%&#" or text[end - 1] in ")]}" and text.count(text[end - 1], host, end) > text.count({")": "(", "]": "[", "}": "{"}[text[end - 1]], host, end)):
-        end -= 1
-    name = re.split(r"[/?#]", text[host:end], maxsplit=1)[0].rpartition("@")[2].split(":")[0]
+    name = re.split(r"[/?#]", text[host : trimmed(text, host, near.end())], maxsplit=1)[0].rpartition("@")[2].split(":")[0]
     if not (_HOST.fullmatch(name) or name == "localhost" or _ADDRESS.fullmatch(name)):
         return None
-    return start, end, "url"
+    return start, trimmed(text, host, _URL.match(text, host).end()), "url"
 
 
 def scheme(text: str, at: int) -> Span | None:
@@ -185,7 +205,7 @@ def number(text: str, at: int) -> tuple[list[Span], int]:
 
 def six(text: str, at: int) -> Span | None:
     start, end, hexes = at, at, "0123456789abcdefABCDEF:."
-    while start and text[start - 1] in hexes:
+    while start and text[start - 1] in hexes and at - start < 46:
         start -= 1
     while end < len(text) and text[end] in hexes and end - start < 46:
         end += 1
@@ -204,7 +224,8 @@ def spans(text: str) -> list[Span]:
     """What one text holds, without overlaps, in order."""
     found: list[Span] = []
     past = -1  # digits before this were looked at
-    for end, (what, size) in anchors().iter(text):
+    ends = {"url": 0, "secret": 0}  # of the last one of its kind
+    for end, (what, size) in anchors().iter(lowered(text)):
         start = end + 1 - size
         one: Span | None = None
         if what.isdigit():
@@ -216,27 +237,33 @@ def spans(text: str) -> list[Span]:
                 one = six(text, start)
         elif what == "@":
             one = email(text, start)
+        elif what == "::":
+            one = six(text, start)
+        elif what == "account":
+            value = _ACCOUNT.match(text, end + 1) if not _alnum(text, start - 1) else None
+            if value:
+                one = (value.start(1), value.end(1), "account")
+        elif start < ends["url" if what in ("://", "www.") else "secret"]:
+            continue
         elif what == "://":
             one = scheme(text, start)
-        elif what in ("www.", "WWW."):
+        elif what == "www.":
             one = None if _alnum(text, start - 1) or text[start - 1 : start] in ("/", ".", "@") else url(text, start, start)
-        elif what == "::":
-            one = six(text, start)
+        elif _alnum(text, start - 1):
+            continue
         elif what == "secret":
             value = _ASSIGNED.match(text, end + 1)
-            if value and not _alnum(text, start - 1):
+            if value:
                 stop = value.end() + (value[1] != "" and text[value.end() : value.end() + 1] == value[1])
                 one = (start, stop, "secret")
-        elif what == "account":
-            value = _ACCOUNT.match(text, end + 1)
-            if value and not _alnum(text, start - 1):
-                one = (value.start(1), value.end(1), "account")
         else:
             value = FIXED[what].match(text, start)
-            if value and not _alnum(text, start - 1):
+            if value:
                 one = (start, value.end(), "secret")
         if one:
             found.append(one)
+            if one[2] in ends:
+                ends[one[2]] = one[1]
     out: list[Span] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1], _RANK[x[2]])):
         if not out or x[0] >= out[-1][1]:
