@@ -10,6 +10,9 @@ The radius follows from the copies to be found: those that share at least half o
 from 0.5 to 0.6 it is 25 of 33 pairs. Of the 1,247 pairs of any length within 28 bits 6 share less than half, none less
 than 0.3. Two unrelated fingerprints of even bits are within 28 bits with probability 5e-11, so some meet among many.
 
+The result has a row for each document in a group of two or more: kept_doc_id, the group's class, and n_links, the number
+of other documents within the radius.
+
 Equal fingerprints are one. The distinct ones, in order of their number of one bits, are cut into tiles; every pair of
 tiles is compared in full with exclusive or and bit counts, except those whose bit counts differ by more than the radius
 - in them no two fingerprints can be near. The same test skips blocks within a pair of tiles. What a pair of tiles finds
@@ -18,7 +21,8 @@ comparison is exact, so its work grows with the square of the number of distinct
 
 Defined results: documents without any word (null or empty text, too) have no fingerprint and are in no group; rows that
 repeat an id are one document if their text is equal and near duplicates, if their texts are; a null id is reported as
-null and counts as later than all others; other columns aren't looked at.
+null and counts as later than all others; a very long text is one fingerprint like any other; an empty table gives no
+row; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import only, parts, stored, table
-from .groups import components
+from .groups import components, labels
 from .op10_bpe_codec import slices
 
 BITS, RADIUS = 128, 28
@@ -102,59 +106,47 @@ def blocks(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tu
                     yield x[keep], y[keep]
 
 
-class Forest:
-    """Union of sets, each with its least member as root."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        top = x
-        while (up := parent.setdefault(top, top)) != top:
-            top = up
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-
-
 def compared(radius: int):
-    """From the two tiles of a pair, the edges of a star for each of their groups."""
+    """From the two tiles of a pair, each fingerprint with a near one: the first of its group, and the documents near it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, left, right in zip(batch.column("same").to_pylist(), batch.column("left"), batch.column("right")):
                 a = np.frombuffer(left.as_buffer(), "<i8").reshape(-1, 3)
                 b = a if same else np.frombuffer(right.as_buffer(), "<i8").reshape(-1, 3)
-                forest = Forest()
+                both, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
+                links = np.zeros(len(both), np.int64)
+                held, n = [], 0
                 for x, y in blocks(a[:, :2].view(np.uint64), b[:, :2].view(np.uint64), radius, same):
-                    for p, q in zip(a[x, 2].tolist(), b[y, 2].tolist()):
-                        forest.join(p, q)
-                found = [(x, r) for x in forest.parent if (r := forest.root(x)) != x]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["x", "y"])
+                    np.add.at(links, x, b[y, 2])
+                    np.add.at(links, y + shift, a[x, 2])
+                    held.append((x, y + shift))
+                    n += len(x)
+                    if n > 1_000_000:  # no more pairs are kept than a star for each group has
+                        root = labels(len(both), *map(np.concatenate, zip(*held)))
+                        held, n = [(x := np.flatnonzero(root != np.arange(len(root))), root[x])], 0
+                if held:
+                    root = labels(len(both), *map(np.concatenate, zip(*held)))
+                    at = np.flatnonzero(links)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (both[at, 0], both[at, 1], both[root[at], 0], both[root[at], 1], links[at])], names=["f", "g", "rf", "rg", "links"])
 
     return run
 
 
 def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A tile's fingerprints and ids, in order of the bit counts, as bytes."""
+    """A tile's fingerprints and how many documents have each, in order of the bit counts, as bytes."""
     for batch in batches:
         for tile, rows in zip(batch.column("tile").to_pylist(), batch.column("rows")):
             v = rows.values
-            x = np.column_stack([v.field(c).to_numpy() for c in ("f", "g", "id")]).astype("<i8")
+            x = np.column_stack([v.field(c).to_numpy() for c in ("f", "g", "n")]).astype("<i8")
             n = np.bitwise_count(x[:, :2].astype(np.uint64)).sum(1, dtype=np.int32)
             order = np.argsort(n, kind="stable")
             yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), pa.array([int(n.min())], pa.int32()), pa.array([int(n.max())], pa.int32()), pa.array([x[order].tobytes()], pa.binary())], names=["tile", "low", "high", "data"])
 
 
 def near_edges(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """x, y of near fingerprints (f, g, id), enough of them to connect each group."""
+    """From distinct fingerprints (f, g) of n documents each: every f, g near others, with another of its group (rf, rg),
+    enough of them to connect it, and the number of documents near it; in parts, to be added up."""
     n = distinct.count()
     tiles = max(LEAST_TILES, -(-n // tile_rows))
     ones = F.bit_count("f") + F.bit_count("g")
@@ -163,8 +155,8 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
     before = F.sum("count").over(Window.orderBy("ones")) - F.col("count")
     share = by_count.select("ones", "count", before.alias("before"))
     slot = F.floor((F.col("before") + F.pmod(F.xxhash64("f", "g"), F.col("count"))) * tiles / max(n, 1)).cast("int")
-    placed = distinct.withColumn("ones", ones).join(F.broadcast(share), "ones").select(slot.alias("tile"), "f", "g", "id")
-    packed = placed.groupBy("tile").agg(F.collect_list(F.struct("f", "g", "id")).alias("rows")).mapInArrow(tiled, "tile int, low int, high int, data binary")
+    placed = distinct.withColumn("ones", ones).join(F.broadcast(share), "ones").select(slot.alias("tile"), "f", "g", "n")
+    packed = placed.groupBy("tile").agg(F.collect_list(F.struct("f", "g", "n")).alias("rows")).mapInArrow(tiled, "tile int, low int, high int, data binary")
     packed = stored(packed, "tiles")
     a, b = packed.select(*[F.col(c).alias(f"a_{c}") for c in packed.columns]), packed.select(*[F.col(c).alias(f"b_{c}") for c in packed.columns])
     # All pairs of tiles that pass the count test, each once; there are few tiles, so their numbers are paired first.
@@ -173,36 +165,73 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
     near = x.join(y, (F.col("a_tile") <= F.col("b_tile")) & (F.col("a_low") <= F.col("b_high") + radius) & (F.col("b_low") <= F.col("a_high") + radius)).select("a_tile", "b_tile")
     joined = near.join(a.select("a_tile", "a_data"), "a_tile").join(b.select("b_tile", "b_data"), "b_tile")
     joined = joined.select("a_tile", "b_tile", (F.col("a_tile") == F.col("b_tile")).alias("same"), F.col("a_data").alias("left"), F.when(F.col("a_tile") == F.col("b_tile"), F.unhex(F.lit(""))).otherwise(F.col("b_data")).alias("right"))
-    spread = joined.repartition(max(parts(distinct), min(1000, tiles * (tiles + 1) // 2)), "a_tile", "b_tile")
-    return spread.select("same", "left", "right").mapInArrow(compared(radius), "x bigint, y bigint")
+    spread = joined.repartition(max(parts(distinct), min(16 * parts(distinct), tiles * (tiles + 1) // 2)), "a_tile", "b_tile")
+    return spread.select("same", "left", "right").mapInArrow(compared(radius), "f bigint, g bigint, rf bigint, rg bigint, links bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, key (xxhash64 of the text) and kept_doc_id, kept_key of every document in a group of two or more, the kept one too."""
-    docs = only(docs, doc_id="bigint", text="string").withColumn("key", F.xxhash64("text"))
-    prints = stored(docs.mapInArrow(fingerprinted, "doc_id bigint, key bigint, f bigint, g bigint").where("f is not null").distinct(), "fingerprints")
+def keyed(docs: DataFrame) -> DataFrame:
+    return only(docs, doc_id="bigint", text="string").withColumn("key", F.xxhash64("text"))
+
+
+def prints_of(docs: DataFrame) -> DataFrame:
+    """doc_id, key (xxhash64 of the text), f and g of the documents that have a word."""
+    return docs.mapInArrow(fingerprinted, "doc_id bigint, key bigint, f bigint, g bigint").where("f is not null").distinct()
+
+
+def near_rows(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, key, kept_doc_id, kept_key and n_links of every row of prints in a group of two or more, the kept one too."""
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")
-    # Equal fingerprints share a number: that of the group's first row by a hash that tells it from all others.
-    number = F.xxhash64("f", "g")
-    same = prints.groupBy("f", "g").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", number)
-    same = stored(same, "distinct-fingerprints")
-    roots = components(near_edges(same.select("f", "g", "id"), radius))
-    rooted = same.join(roots, "id", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "id"))
+    # A fingerprint is its own identity: documents of equal ones are one until the end.
+    same = stored(prints.groupBy("f", "g").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    found = stored(near_edges(same.select("f", "g", "n"), radius), "near-fingerprints")
+    links = found.groupBy("f", "g").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.struct("f", "g").alias("x"), F.struct(F.col("rf").alias("f"), F.col("rg").alias("g")).alias("y")))
+    roots = roots.select("id.f", "id.g", "root")
+    rooted = same.join(roots, ["f", "g"], "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", F.struct("f", "g")))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
-    grouped = rooted.join(kept, "root").select("f", "g", "kept")
-    return prints.join(grouped, ["f", "g"]).select("doc_id", "key", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.key").alias("kept_key"))
+    grouped = rooted.join(kept, "root").join(links, ["f", "g"], "left").select("f", "g", "kept", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return prints.join(grouped, ["f", "g"]).select("doc_id", "key", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.key").alias("kept_key"), "n_links")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, of which nothing nearly equal stays; of repeated rows one stays."""
-    known = near_duplicates(docs)
-    gone = known.where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("key") == F.col("kept_key")))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, key (xxhash64 of the text), kept_doc_id, kept_key and n_links of every document in a group of two or more."""
+    return near_rows(stored(prints_of(keyed(docs)), "fingerprints"), radius)
+
+
+def prints_of_originals(docs: DataFrame, originals: DataFrame) -> DataFrame:
+    """doc_id and key of the rows of docs (with text, under an id) that are cut from an original, and that one's fingerprint.
+
+    A row is cut from an original of its id if all its lines are among the original's; lines are compared by hash. Of
+    several originals the one with the least fingerprint counts.
+    """
+    hashes = F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x))
+    lines = keyed(docs).where("doc_id is not null and text is not null").select("doc_id", "key", hashes.alias("lines"))
+    whole = keyed(originals).where("doc_id is not null and text is not null")
+    held = prints_of(whole).join(whole.select("doc_id", "key", hashes.alias("whole")).dropDuplicates(["doc_id", "key"]), ["doc_id", "key"]).drop("key")
+    cut = lines.join(held, "doc_id").where(F.size(F.array_except("lines", "whole")) == 0)
+    return cut.groupBy("doc_id", "key").agg(F.min(F.struct("f", "g")).alias("p")).select("doc_id", "key", "p.f", "p.g")
+
+
+def one_of_each(docs: DataFrame, originals: DataFrame | None = None) -> DataFrame:
+    """The documents, with all their columns, of which nothing nearly equal stays; of repeated rows one stays.
+
+    If docs were cut from ``originals``, near copies are found among the originals of what docs has first: two copies of
+    which one lost its repeated lines are no longer alike. What stays is then compared as it is.
+    """
+    of = lambda known: known.where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("key") == F.col("kept_key")))).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+    match = lambda doc_id, key, other: doc_id.cast("bigint").eqNullSafe(other["_d"]) & (key == other["_k"])
+    prints = stored(prints_of(keyed(docs)), "fingerprints")
+    if originals is None:
+        gone = of(near_rows(prints))
+    else:
+        before = stored(of(near_rows(stored(prints_of_originals(docs, originals), "fingerprints"))), "gone")
+        gone = before.union(of(near_rows(prints.join(before, match(prints["doc_id"], prints["key"], before), "left_anti"))))
     key = F.xxhash64("text")
-    kept = docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["_d"]) & (key == gone["_k"]), "left_anti")
+    kept = docs.join(gone, match(docs["doc_id"], key, gone), "left_anti")
     # Rows whose id and text repeat: only these few are numbered.
     counted = docs.groupBy(F.col("doc_id").cast("bigint").alias("_d"), key.alias("_k")).count().where("count > 1").select("_d", "_k")
     counted = stored(counted, "repeated")
-    repeats = docs["doc_id"].cast("bigint").eqNullSafe(counted["_d"]) & (key == counted["_k"])
+    repeats = match(docs["doc_id"], key, counted)
     others = kept.join(counted, repeats, "left_anti")
     first = Window.partitionBy(F.col("doc_id"), key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
     nth = "__quillpack_nth"
@@ -211,4 +240,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id").distinct()
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id", "n_links").distinct()

@@ -264,10 +264,33 @@ def test_tiles(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
     x = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 60, (40, 2), dtype=np.uint64))])
-    df = spark.createDataFrame([(int(a.view(np.int64)), int(b.view(np.int64)), i) for i, (a, b) in enumerate(x)], "f bigint, g bigint, id bigint")
-    want = {frozenset((i, i + 40)) for i in range(40)}
+    rows = [(int(a), int(b), i + 1) for i, (a, b) in enumerate(x.view(np.int64).tolist())]
+    number = {r[:2]: i for i, r in enumerate(rows)}
+    df = spark.createDataFrame(rows, "f bigint, g bigint, n bigint")
     for size in (3, 1000):
-        assert {frozenset((r.x, r.y)) for r in simhash.near_edges(df, 8, size).collect()} == want
+        made = simhash.near_edges(df, 8, size).collect()
+        assert {frozenset((number[r.f, r.g], number[r.rf, r.rg])) for r in made} - {frozenset((i,)) for i in range(80)} == {frozenset((i, i + 40)) for i in range(40)}
+        assert {number[r.f, r.g]: r.links for r in made} == {i: (i + 40) % 80 + 1 for i in range(80)}
+
+
+def test_links(documents):
+    """Copies, and many different texts that are all near each other: a class, and every link counted."""
+    text = prose(9, 300).split()
+    near = [" ".join([*text[:i], "other", *text[i + 1 :]]) for i in range(0, 300, 5)]
+    rows = [(i, t) for i, t in enumerate([*near, near[0], near[0], prose(10, 300), "one more"])]
+    made = {r.doc_id: (r.kept_doc_id, r.n_links) for r in simhash.near_duplicates(documents(*rows)).collect()}
+    prints = simhash.fingerprints([t for _, t in rows])[0]
+    count = lambda i: sum(i != j and sum(int(x).bit_count() for x in prints[i] ^ prints[j]) <= simhash.RADIUS for j in range(len(rows)))
+    assert made == {i: (0, count(i)) for i in range(62)} and all(n > 50 for _, n in made.values())
+
+
+def test_cut_copies_are_known_by_their_originals(documents):
+    """Copies of which lines were cut go by what they were cut from; rows that weren't cut from it don't."""
+    one = [prose(i, 30) for i in range(20, 40)]
+    whole = [(1, "\n".join(one)), (2, "\n".join([*one[:19], one[19] + " changed"])), (3, "\n".join(one)), (4, prose(5, 200)), (None, "\n".join(one))]
+    docs = documents((1, "\n".join(one)), (2, one[19] + " changed"), (3, "another text altogether"), (4, prose(5, 200)), (None, one[2]), (6, "no original"), (7, None))
+    assert sorted((r.doc_id for r in simhash.one_of_each(docs, documents(*whole)).collect()), key=repr) == [1, 3, 4, 6, 7, None]
+    assert simhash.one_of_each(docs, documents()).count() == 7 and simhash.one_of_each(documents(), documents(*whole)).count() == 0
 
 
 # 9
