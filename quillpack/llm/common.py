@@ -32,17 +32,18 @@ _local = ""
 _open: list[list[str]] = []
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors.
 
-    The folder goes when the enclosing ``scratch`` ends, or ``release`` is told to, or else when the driver exits.
+    The folder goes when the enclosing ``scratch`` ends (unless ``keep``), or ``release`` is told to, or else when the
+    driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
-    if _open:
+    if _open and not keep:
         _open[-1].append(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._quillpack_path = path
@@ -61,7 +62,7 @@ def release(df: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is stored within goes at the end, so results have to be stored outside, or written, before."""
+    """What is stored within goes at the end; results are to be written, or stored to ``keep``, before."""
     _open.append([])
     try:
         yield

@@ -218,6 +218,13 @@ def groups_of(prints, radius):
     return [top(i) for i in range(len(prints))]
 
 
+def brute_left(rows, originals):
+    """Positions of rows (doc_id, text), cut from originals by id, that near_dedup keeps."""
+    left = sorted(brute_kept([(i, originals[i]) for i, _ in rows]))
+    again = brute_kept([rows[i] for i in left])
+    return {left[i] for i in again}
+
+
 def brute_kept(rows):
     """Positions of rows (doc_id, text) of which nothing near and earlier stays."""
     out, some = simhash.fingerprints([t or "" for _, t in rows])
@@ -368,7 +375,7 @@ def test_pipeline(spark, small):
         left = [x for n, x in enumerate(t.split("\n")) if (i, n) not in gone]
         if len(left) == len(t.split("\n")) or "".join(left).strip():
             cut.append((i, "\n".join(left)))
-    cut = [cut[i] for i in sorted(brute_kept(cut))]
+    cut = [cut[i] for i in sorted(brute_left(cut, dict(rows)))]
     bad = set()
     shingled = lambda t: [tuple(w[i : i + 3]) for w in [words_of(t)] for i in range(len(w) - 2)]
     for item in items.collect():
