@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, with the columns
 of documents from all but the last. ``run`` writes each stage's result as Parquet to the shared folder and reads it
-again for the next. Null text, empty tables and columns that documents doesn't have are passed through as each
+again for the next; the last one's stays there until the driver exits. Null text, empty tables and columns that documents doesn't have are passed through as each
 operator's docstring defines.
 """
 
@@ -15,7 +15,7 @@ from quillpack.llm import op6_language_id as language
 from quillpack.llm import op7_simhash_dedup as simhash
 from quillpack.llm import op9_line_dedup as lines
 from quillpack.llm import op10_bpe_codec as codec
-from quillpack.llm.common import stored, table
+from quillpack.llm.common import release, scratch, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the first document by id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near duplicates the first document by id stays.
+
+    Line dedup has cut what a copy shares with an earlier document, and what is left of the two is no longer alike. So the
+    documents that are left are compared first as they were in documents, then, those that stay, as they are now.
+    """
+    return simhash.one_of_each(docs, table(spark, sf_dir, "documents"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # a stage's own intermediates go when its result is written
+            docs = stored(stage(spark, docs, sf_dir), name, keep=True)
+        if hasattr(before, "_quillpack_path"):
+            release(before)
+        before = docs
     return docs
