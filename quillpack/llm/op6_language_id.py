@@ -8,9 +8,10 @@ length under a language is an exact sum of integers over all its bytes. The lang
 ``SLACK_BITS``, or if it has no text.
 
 The trees are fitted on a bounded sample of labelled documents: of each language the ``SAMPLE_DOCS`` documents whose
-ids hash lowest, at most ``SAMPLE_BYTES`` bytes. These bytes are shared between the documents: all texts up to some
-length are used whole, longer ones are cut to their first bytes of that length (1,562 at least, if there are as many
-documents as may be), so no long text displaces the others. Scoring covers whole texts.
+ids hash lowest, whole, in that order, as far as they have room in ``SAMPLE_BYTES`` bytes; a text that has none is left
+out of the sample and the next is taken, so no long text displaces the others and none is cut. Contexts that all
+samples together have fewer than ``LEAST_COUNT`` times are left to their shorter ones. Scoring covers all documents and
+whole texts, very long ones too.
 
 Defined results: null, empty and blank text is rejected with language null and 0 bits; repeated rows give a row each;
 without any labelled text everything is rejected; columns other than doc_id and text (lang when fitting) aren't looked at.
@@ -134,14 +135,14 @@ def build(samples: dict[str, list[bytes]], least: int = LEAST_COUNT) -> Model |
     return Model(languages, symbol, context, bits)
 
 
-def fair_share(sizes: list[int], total: int) -> int:
-    """The length to cut texts of these sizes to, so that all have room and together ``total`` at most."""
-    for at, size in enumerate(sorted(sizes)):
-        each = total // (len(sizes) - at)
-        if size > each:
-            return each
-        total -= size
-    return max(sizes, default=0)
+def with_room(sizes: list[int], total: int) -> list[int]:
+    """Which of the texts of these sizes are taken: each, in order, that fits into what is left of ``total``."""
+    taken = []
+    for i, size in enumerate(sizes):
+        if size <= total:
+            taken.append(i)
+            total -= size
+    return taken
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
@@ -159,16 +160,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     if not ids:
         return None
     texts: dict[str, list[bytes]] = {}
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", F.substring("text", 1, sample_bytes).alias("text"), order.alias("h"))
+    rows = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes)).select("lang", "text", order.alias("h"))
     for r in sorted(rows.toLocalIterator(), key=lambda r: (r.lang, r.h, r.text)):
         if r.text:
             texts.setdefault(r.lang, []).append(r.text.encode("utf-8", "surrogatepass"))
-    samples: dict[str, list[bytes]] = {}
-    for lang, raws in texts.items():
-        raws = raws[:sample_docs]  # ids that repeat may bring more
-        each = fair_share([len(r) for r in raws], sample_bytes)
-        if each:
-            samples[lang] = [r[:each] for r in raws]
+    samples = {}
+    for lang, raws in texts.items():  # ids that repeat may bring more than so many documents
+        samples[lang] = [raws[i] for i in with_room([len(r) for r in raws[:sample_docs]], sample_bytes)]
     return build(samples)
 
 

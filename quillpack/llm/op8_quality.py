@@ -11,8 +11,9 @@ Fitted on at most ``FIT_ROWS`` labelled documents, those whose ids hash lowest;
 text. A document is kept if P(grade >= 2) is at least ``KEEP``.
 
 Defined results: null or blank text is never kept; label rows without quality or toxic, or without a document, are left
-out; several labels or rows for a document count each; without labels every document with text is kept with null scores;
-columns other than doc_id and text aren't looked at.
+out; several labels or rows for a document count each; documents of equal scores are kept or not alike, a tail of exactly
+``KEEP`` is; without labels every document with text is kept with null scores; a very long text is scored whole; an empty
+table gives no row; columns other than doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -92,7 +93,19 @@ class Model:
         """P(grade >= 1) and P(grade >= 2) of each text."""
         of, feature = features(texts)
         score = np.bincount(of, self.weights[feature], minlength=len(texts))
-        return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - score[:, None], -60, 60)))
+        return sigmoid(score[:, None] - np.array(self.thresholds))
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def slopes(score: np.ndarray, low: float, high: float, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of -log P(grade) by the score through either threshold; their sum is that by the score itself."""
+    one, two = sigmoid(score - low), sigmoid(score - high)
+    p = np.maximum(np.choose(grade, [1 - one, one - two, two]), 1e-9)
+    d1, d2 = one * (1 - one), two * (1 - two)
+    return np.choose(grade, [d1, -d1, np.zeros_like(d1)]) / p, np.choose(grade, [np.zeros_like(d2), d2, -d2]) / p
 
 
 def learn(of: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float = PENALTY, rate: float = RATE, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -112,7 +125,6 @@ def learn(of: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float
     t = np.array([low, np.log(max(high - low, 0.1))])
     t_squares = np.full(2, 1e-2)
     random = np.random.default_rng(seed)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for _ in range(epochs):
         order = random.permutation(n)
         for b in range(0, n, BATCH):
@@ -121,13 +133,7 @@ def learn(of: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float
             own = feature[bpe.ragged(at, rows)]
             row = np.repeat(np.arange(len(rows)), size)
             s = np.bincount(row, w[own], minlength=len(rows))
-            one, two = sigmoid(s - t[0]), sigmoid(s - t[0] - np.exp(t[1]))
-            y = grade[rows]
-            p = np.maximum(np.choose(y, [1 - one, one - two, two]), 1e-9)
-            d1, d2 = one * (1 - one), two * (1 - two)
-            # derivatives of -log p by the score and by both thresholds
-            by_one = np.choose(y, [d1, -d1, np.zeros_like(d1)]) / p
-            by_two = np.choose(y, [np.zeros_like(d2), d2, -d2]) / p
+            by_one, by_two = slopes(s, t[0], t[0] + np.exp(t[1]), grade[rows])
             g = np.bincount(own, np.repeat(by_one + by_two, size), minlength=len(ids)) / len(rows)
             squares += g * g
             step = rate / np.sqrt(squares)

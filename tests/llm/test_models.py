@@ -33,11 +33,72 @@ def test_a_long_text_leaves_room_for_the_others(spark):
     assert model.score(raws).argmin(1).tolist() == [0, 1] and (model.score(raws).min(1) < 2 * language.UNIT * np.array([len(r) for r in raws])).all()
 
 
-def test_shares_fill_the_room():
-    assert language.fair_share([10, 5, 1000], 100) == 85 and language.fair_share([3, 4], 100) == 4 and language.fair_share([], 9) == 0
-    for sizes in ([7] * 30, list(range(60)), [1, 1, 500, 900]):
-        each = language.fair_share(sizes, 150)
-        assert sum(min(x, each) for x in sizes) <= 150 < sum(min(x, each + 1) for x in sizes)
+def test_room():
+    assert language.with_room([10, 5, 1000, 85], 100) == [0, 1, 3] and language.with_room([], 9) == []
+
+
+def brute_bits(samples, own, raw, least):
+    """Bits of a text by the definition, byte by byte, with dictionaries of contexts."""
+    from collections import Counter, defaultdict
+
+    counts = {x: defaultdict(Counter) for x in samples}
+    total = Counter()
+    for x, texts in samples.items():
+        for t in texts:
+            for i in range(len(t)):
+                for order in range(min(i, 3) + 1):
+                    counts[x][t[i - order : i]][t[i]] += 1
+                    total[t[i - order : i]] += 1
+    seen = {b for texts in samples.values() for t in texts for b in t}
+    bits = 0.0
+    for i, byte in enumerate(raw):
+        order = 0
+        while order < min(i, 3) and total[raw[i - order - 1 : i]] >= least:
+            order += 1
+        closed = set()
+        while True:
+            here = {b: n for b, n in counts[own][raw[i - order : i]].items() if b not in closed}
+            n, d = sum(here.values()), len(here)
+            if byte in here:
+                bits += np.log2((n + d) / here[byte])
+                break
+            bits += np.log2((n + d) / d) if d else 0
+            closed |= set(here)
+            if not order:
+                bits += np.log2(256 - len(closed))
+                break
+            order -= 1
+    assert seen
+    return bits
+
+
+def test_against_prediction_by_dictionaries():
+    samples = {"a": [b"the cat sat on the mat, the hat of that cat", b"a hat, a mat"], "b": ["der hund und die katze saßen dort".encode(), b"und da"], "c": [b"tatata"]}
+    for least in (1, 2, 3):
+        model = language.build(samples, least)
+        for raw in (b"the cat", b"die hand", "ßß xyz".encode(), b"a", b"tata the und", bytes(range(0, 250, 7))):
+            got = model.score([raw])[0] / language.UNIT
+            assert np.allclose(got, [brute_bits(samples, x, raw, least) for x in "abc"], atol=0.6 * len(raw) / language.UNIT + 1e-6)
+
+
+FOREIGN = [
+    "La nostra vita comincia quando decidiamo di non restare in silenzio davanti alle cose importanti che vediamo ogni giorno in città",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar; akıl ve vicdana sahiptirler",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki ja omatunto",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "q9X/aZ+4kLw0" * 12,
+    " ".join(str(i * 7919 % 99991) for i in range(60)),
+    "def f(x):\n    return {k: v for k, v in x.items() if k > 3 and v[0] != 'q'}\n" * 3,
+]
+
+
+def test_what_is_rejected(docs, documents):
+    """Other languages, code, digits and encoded bytes go; of the documents themselves hardly any does."""
+    model = language.fit(docs)
+    assert not [r for r in language.identify(documents(*enumerate(FOREIGN)), model).where("accepted").collect()]
+    kept = language.accepted_documents(docs, model).count()
+    assert kept >= 0.99 * docs.count()
 
 
 def test_code_lengths_are_those_of_a_distribution():
@@ -87,6 +148,51 @@ def test_quality_held_out(spark):
     assert all(r.p_ge_1 >= r.p_ge_2 and abs(r.expected_grade - r.p_ge_1 - r.p_ge_2) < 1e-9 for r in made)
 
 
+def test_slopes_are_derivatives():
+    rng = np.random.default_rng(1)
+    s, y, h = rng.standard_normal(60) * 3, rng.integers(0, 3, 60), 1e-6
+
+    def loss(s, low, high):
+        upper = [1 / (1 + np.exp(low - s)), 1 / (1 + np.exp(high - s))]
+        return -np.log(np.choose(y, [1 - upper[0], upper[0] - upper[1], upper[1]]))
+
+    one, two = quality.slopes(s, -0.5, 1.2, y)
+    assert np.allclose(one + two, (loss(s + h, -0.5, 1.2) - loss(s - h, -0.5, 1.2)) / (2 * h), atol=1e-5)
+    assert np.allclose(-one, (loss(s, -0.5 + h, 1.2) - loss(s, -0.5 - h, 1.2)) / (2 * h), atol=1e-5)
+    assert np.allclose(-two, (loss(s, -0.5, 1.2 + h) - loss(s, -0.5, 1.2 - h)) / (2 * h), atol=1e-5)
+
+
+def plain_features(text):
+    """The features of a text one by one."""
+    import regex
+
+    from quillpack.llm import words
+
+    one = lambda x: words.span_hashes(words.codes_of([x])[0], np.array([0]), np.array([len(x)]))[0]
+    mixed = lambda x: words.mixed(np.full(1, x, np.uint64))[0]
+    found = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+    symbols = regex.findall(r"[^\p{L}\p{N}\s]+", text)
+    made = {one(w) for w in found} | {one(w[:k]) ^ mixed(k) for w in found for k in quality.PREFIXES if len(w) > k} | {one(x) ^ np.uint64(0x5555555555555555) for x in symbols}
+    share = lambda a, b: min(9, 10 * a // max(b, 1))
+    n, size = len(found), min(12, int(np.log2(max(len(found), 1))))
+    letters, caps = len(regex.findall(r"\p{L}", text)), sum(a != b for a, b in zip(text, text.lower()))
+    shape = [share(len(set(found)), n) + 16 * size + 1000, share(caps, letters) + 2000, share(len(symbols), n) + 3000, size + 4000, share(sum(len(x) > 1 for x in symbols), n) + 5000, share(sum(a == b for a, b in zip(found, found[1:])), n) + 6000]
+    return sorted({int(x >> np.uint64(64 - quality.HASH_BITS)) for x in made | {mixed(x + (1 << 40)) for x in shape}})
+
+
+def test_query_against_scores_one_by_one(spark, docs):
+    few = docs.where("doc_id % 40 = 3")
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    want = {}
+    for r in few.collect():
+        score = sum(model.weights[x] for x in plain_features(r.text))
+        tails = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        if tails[1] >= quality.KEEP:
+            want[r.doc_id] = (sum(tails), *tails)
+    made = {r.doc_id: (r.expected_grade, r.p_ge_1, r.p_ge_2) for r in quality.selected(few, model).collect()}
+    assert set(made) == set(want) and want and all(np.allclose(made[i], want[i], atol=2e-6) for i in want)
+
+
 def test_quality_learns_a_grade_from_ordered_words():
     texts = [f"{w} filler{i % 7} text" for i in range(300) for w in (("bad", "fair", "good")[i % 3],)]
     of, feature = quality.features(texts)
