@@ -7,11 +7,16 @@ threshold doesn't grow with the length, so a long line with one word replaced is
 
 Lines of each length are cut into ``THRESHOLD + 1`` segments; a line within the threshold has one of them unchanged, at
 one of few places, so each line probes the segment index of every admissible length with these substrings only
-(multi-match-aware selection). Index and probe entries are hashes: they are partitioned by hash once and joined there.
-Only the lines of candidate pairs are read again, and verified by bit-parallel edit distance within the band.
+(multi-match-aware selection; Li, Deng, Wang and Feng, "Pass-Join", 2011). Index and probe entries are hashes: they are
+partitioned by hash once, into as many partitions as keep one within ``PART_ENTRIES``, and joined there. Only the lines of
+candidate pairs are read again, and verified by bit-parallel edit distance within the band (Hyyrö, "A bit-vector algorithm
+for computing Levenshtein and Damerau edit distances", 2003). Candidates meet by 63 bits of a line's hash; a line's
+identity is all 128.
 
 Defined results: null text has no lines; null ids count as later than all others; a row that repeats with the same id and
-text shares its line numbers, so its lines aren't earlier than themselves and stay; other columns aren't looked at.
+text shares its line numbers, so its lines aren't earlier than themselves and stay; of rows with one id and different
+texts, lines of equal number are equally early and both stay; a very long text is read whole, a very long line is a line
+like any other; an empty table gives no row; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .common import only, parts, stored, table
 from .op10_bpe_codec import slices
 
 THRESHOLD, LEAST_CHARS, BROADCAST_LINES = 2, 24, 4_000_000
+#: Entries of a partition of signatures, about, so that its memory doesn't follow the size of the table.
+PART_ENTRIES = 3_000_000
 BLANK = " \t\r\f\v"
 LAST = (1 << 63) - 1
 
@@ -71,6 +78,16 @@ def segment(lengths: np.ndarray, i: int, threshold: int) -> tuple[np.ndarray, np
     return short * i + np.maximum(0, i - first_longer), short + (i >= first_longer)
 
 
+def shifts(i: int, d: int, threshold: int) -> range:
+    """Where, relative to segment i of a line shorter by d, a line within the threshold may have it."""
+    return range(max(-i, d - (threshold - i)), min(i, d + (threshold - i)) + 1)
+
+
+def entries_of_line(threshold: int) -> int:
+    every = range(threshold + 1)
+    return len(every) + sum(len(shifts(i, d, threshold)) for d in every for i in every)
+
+
 def signatures(threshold: int, least: int):
     """sig and line of every index entry (line even) and probe (line odd); of equal lines in a task, the first's."""
     one, two = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -110,8 +127,7 @@ def signatures(threshold: int, least: int):
                 there = size[which] - d
                 for i in range(threshold + 1):
                     p, length = segment(there, i, threshold)
-                    low, high = max(-i, d - (threshold - i)), min(i, d + (threshold - i))
-                    for shift in range(low, high + 1):
+                    for shift in shifts(i, d, threshold):
                         ok = (p + shift >= 0) & (p + shift + length <= size[which])
                         add(p[ok] + shift, length[ok], i, there[ok], which[ok], 1)
             sums = words.span_hashes(codes, np.concatenate(starts), np.concatenate(ends))
@@ -252,28 +268,32 @@ def verified(threshold: int):
         for batch in slices(slices(batches, 1_000_000, "left"), 1_000_000, "right"):
             near = banded(batch.column("left").to_pylist(), batch.column("right").to_pylist(), threshold) <= threshold
             at = pa.array(np.flatnonzero(near))
-            yield pa.RecordBatch.from_arrays([batch.column("x").take(at), batch.column("y").take(at)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in _PAIRED], names=_PAIRED)
 
     return run
 
 
+_PAIRED = ["xa", "xb", "ya", "yb"]
+
+
 def texts_of(docs: DataFrame, lines: DataFrame, least: int, broadcast_lines: int) -> DataFrame:
-    """line and text of the lines asked for."""
+    """line, both halves of the hash, and text of the lines asked for."""
     few = lines.limit(broadcast_lines + 1).count() <= broadcast_lines
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.fromiter((r.line for r in lines.toLocalIterator()), np.int64))) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in slices(batches):
-            if len(seen) > 2_000_000:
+            if len(seen) > 1_000_000:
                 seen.clear()
             ids, texts = [], []
             for text in batch.column("text").to_pylist():
                 for line in lines_of(text or ""):
                     if len(line) >= least:
-                        ids.append(line_hash(line)[0] & ~1)
+                        ids.append(line_hash(line))
                         texts.append(line)
-            held = np.array(ids, np.int64)
+            both = np.array(ids, np.int64).reshape(-1, 2)
+            held = both[:, 0] & ~1
             if shared is not None:
                 known = shared.value
                 k = np.minimum(np.searchsorted(known, held), max(0, len(known) - 1))
@@ -285,22 +305,25 @@ def texts_of(docs: DataFrame, lines: DataFrame, least: int, broadcast_lines: int
                 if ids[i] not in seen:
                     seen.add(ids[i])
                     new.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(held[new]), pa.array([texts[i] for i in new], pa.string())], names=["line", "text"])
+            columns = [pa.array(held[new]), pa.array(both[new, 0]), pa.array(both[new, 1]), pa.array([texts[i] for i in new], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", "a", "b", "text"])
 
-    found = docs.select("text").mapInArrow(run, "line bigint, text string")
+    found = docs.select("text").mapInArrow(run, "line bigint, a bigint, b bigint, text string")
     if not few:
         found = found.join(lines, "line", "left_semi")
-    return found.groupBy("line").agg(F.min("text").alias("text"))
+    return found.groupBy("line", "a", "b").agg(F.min("text").alias("text"))
 
 
-def similar_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_CHARS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """x, y: the (even) hashes of different lines within the threshold."""
-    sigs = docs.select("text").mapInArrow(signatures(threshold, least), "sig bigint, line bigint").repartition(parts(docs), "sig")
+def similar_lines(docs: DataFrame, n_lines: int, threshold: int = THRESHOLD, least: int = LEAST_CHARS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """xa, xb, ya, yb: the hashes of different lines within the threshold; docs has so many lines that are long enough."""
+    pieces = max(parts(docs), -(-n_lines * entries_of_line(threshold) // PART_ENTRIES))
+    sigs = docs.select("text").mapInArrow(signatures(threshold, least), "sig bigint, line bigint").repartition(pieces, "sig")
     pairs = stored(sigs.mapInArrow(paired, "x bigint, y bigint").distinct(), "line-pairs")
     lines = pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct()
     texts = stored(texts_of(docs, lines, least, broadcast_lines), "line-texts")
-    both = pairs.join(texts.select(F.col("line").alias("x"), F.col("text").alias("left")), "x").join(texts.select(F.col("line").alias("y"), F.col("text").alias("right")), "y")
-    return both.select("x", "y", "left", "right").mapInArrow(verified(threshold), "x bigint, y bigint")
+    side = lambda line, a, b, text: texts.select(F.col("line").alias(line), F.col("a").alias(a), F.col("b").alias(b), F.col("text").alias(text))
+    both = pairs.join(side("x", "xa", "xb", "left"), "x").join(side("y", "ya", "yb", "right"), "y")
+    return both.select(*_PAIRED, "left", "right").mapInArrow(verified(threshold), "xa bigint, xb bigint, ya bigint, yb bigint")
 
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_CHARS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -309,13 +332,14 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAS
     lines = stored(docs.withColumn("key", F.xxhash64("text")).mapInArrow(occurrences, "doc_id bigint, key bigint, line_no int, a bigint, b bigint, chars int"), "lines")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "line_no")
     first = lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    near = stored(similar_lines(docs, threshold, least, broadcast_lines), "near-lines")
-    near = near.union(near.select("y", "x")).toDF("line", "other")
-    line = F.col("a").bitwiseAND(F.lit(-2))
-    of_near = stored(first.withColumn("line", line).join(near.select("line").distinct(), "line", "left_semi"), "near-first")
-    earliest = near.join(of_near.groupBy(F.col("line").alias("other")).agg(F.min("first").alias("at")), "other").groupBy("line").agg(F.min("at").alias("near"))
+    n_lines = lines.where(F.col("chars") >= least).count()
+    near = stored(similar_lines(docs, n_lines, threshold, least, broadcast_lines), "near-lines")
+    near = near.union(near.select("ya", "yb", "xa", "xb")).toDF("a", "b", "oa", "ob")
+    of_near = stored(first.join(near.select("a", "b").distinct(), ["a", "b"], "left_semi"), "near-first")
+    others = of_near.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("first").alias("at"))
+    earliest = near.join(others, ["oa", "ob"]).groupBy("a", "b").agg(F.min("at").alias("near"))
     exact = first.where("n > 1").select("a", "b", "first")
-    refs = exact.union(of_near.join(earliest, "line").select("a", "b", F.least("first", "near").alias("first"))).groupBy("a", "b").agg(F.min("first").alias("kept"))
+    refs = exact.union(of_near.join(earliest, ["a", "b"]).select("a", "b", F.least("first", "near").alias("first"))).groupBy("a", "b").agg(F.min("first").alias("kept"))
     return (
         lines.join(refs, ["a", "b"])
         .where(F.col("kept") < place)
