@@ -29,20 +29,21 @@ def contents(text: Column) -> Column:
 
 def _fenced(text: Column) -> Column:
     """Lines and blocks in order: between two fences stand whole lines, each with its newline."""
-    outside = F.split(text, P.FENCE, -1)
     langs = F.regexp_extract_all(text, F.lit(P.FENCE), 2)
     blocks = F.zip_with(langs, contents(text), lambda a, c: F.struct(F.lit(None).cast("string").alias("line"), a.alias("lang"), c.alias("content")))
     nothing = F.array().cast(f"array<{LINE}>")
 
-    def part(piece: Column, i: Column) -> Column:
-        last = i == F.size(outside) - 1
+    def part(piece: Column, last: Column, first: Column, after: Column) -> Column:
         whole = F.when(last, P.replace(piece, P.BARE_FENCE, "")).otherwise(P.replace(piece, r"\n\z", ""))
         # A piece that is nothing but a bare fence at the end has no line left.
-        empty = F.when(last, (i > 0) & (whole == "") | (piece != "") & (whole == "")).otherwise(piece == "")
-        own = F.when(empty, nothing).otherwise(_plain(whole))
-        return F.concat(own, F.when(last, nothing).otherwise(F.array(F.get(blocks, i))))
+        empty = F.when(last, ~first & (whole == "") | (piece != "") & (whole == "")).otherwise(piece == "")
+        return F.concat(F.when(empty, nothing).otherwise(_plain(whole)), F.when(last, nothing).otherwise(F.array(after)))
 
-    return F.flatten(F.transform(outside, part))
+    def parts(pieces: Column, held: Column) -> Column:
+        return F.flatten(F.transform(pieces, lambda piece, i: part(piece, i == F.size(pieces) - 1, i == 0, F.get(held, i))))
+
+    # Both are computed once, not again for each piece.
+    return P.let(blocks, lambda held: P.let(F.split(text, P.FENCE, -1), lambda pieces: parts(pieces, held)))
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -1,66 +1,66 @@
 """The compiler against a sequential one, line by line, and single cases of each operator."""
 
 import json
+import os
 import random
-import re
+import unicodedata
 
 import pytest
+from plain_compiler import Compiler, fenced, parsed
 from pyspark.sql import functions as F
 
+from quillpack import registry
 from quillpack.config import Settings, standard
 from quillpack.functions import json_schema
 from quillpack.functions import text as X
 from quillpack.operators import blocks, emit, finish, parse, schemas
 from quillpack.plans.compile import compile_corpus, compile_lines, concatenated, nodes
 
-LISTED = re.compile(r"(\s*)([-*+]|\d+\.)\s+(.+)", re.DOTALL)
-PAIR = re.compile(r"([A-Za-z][A-Za-z0-9 _-]{0,63})\s*:\s+(.+)", re.DOTALL)
-HEAD = re.compile(r"(#{1,6})\s+(.+)", re.DOTALL)
-RULE = re.compile(r"[-*_]{3,}")
-
-
-def sequential(text):
-    """(kind, what) of each node, found with a cursor that moves over the lines."""
-    found, rows, at = [], [x.rstrip() for x in text.split("\n")], 0
-    ends = lambda s: not s.strip() or "|" in s or HEAD.fullmatch(s.strip()) or LISTED.fullmatch(s) or PAIR.fullmatch(s.strip())
-    while at < len(rows):
-        row, bare = rows[at], rows[at].strip()
-        at += 1
-        if not bare:
-            found.append(("blank", None))
-        elif RULE.fullmatch(bare):
-            pass
-        elif HEAD.fullmatch(bare):
-            found.append(("heading", HEAD.fullmatch(bare)[2].strip()))
-        elif "|" in bare and at < len(rows) and re.match(r"\|?[\s:-]+\|", rows[at].strip()) and "---" in rows[at]:
-            held, at = [bare], at + 1
-            while at < len(rows) and "|" in rows[at]:
-                held.append(rows[at].strip())
-                at += 1
-            found.append(("table", len(held)))
-        elif LISTED.fullmatch(row):
-            found.append(("list_item", LISTED.fullmatch(row)[3].strip()))
-        elif PAIR.fullmatch(bare):
-            found.append(("kv", PAIR.fullmatch(bare)[1]))
-        else:
-            held = [bare]
-            while at < len(rows) and not ends(rows[at]):
-                held.append(rows[at].strip())
-                at += 1
-            found.append(("paragraph", " ".join(held)))
-    return found
-
-
-def test_nodes_of_random_lines(spark, documents):
-    random.seed(5)
-    choices = ["", "word", "more words.", "---", "***", "a | b", "|---|---|", "| x | y |", "- item", "  1. item", "key: value", "# Top", "## Sub", "text: ", "--- | ---"]
-    texts = ["\n".join(random.choices(choices, k=random.randint(1, 12))) for _ in range(400)]
-    made = nodes(documents(*enumerate(texts))).select("doc_id", "node_no", "kind", F.coalesce("text", "key", F.size("rows").cast("string")).alias("what")).orderBy("doc_id", "node_no").collect()
+DATA = os.environ.get("QUILLPACK_TESTDATA", "/root/testdata/sf0.001")
+
+PIECES = [
+    "", "", "word", "more words.", "Sold in order to last 10 seconds. Then it is the end...", "---", "***", "a | b", "|---|---|", "| x | y |", "| X | yes |", "| | no |", "|---|---|---|", "| a | b | c |", "| No | TRUE | enabled |",
+    "- item", "  1. item of 5 megabytes.", "    * deep **bold** item", "key: value", "rate_limit_a: 1", "rate_limit_b: yes", "rate_limit_c: [l](http://u)", "Key: `code`", "# Top", "## Sub one", "### 漢字", "# Top", "text: ", "--- | ---",
+    "```", "```py", "````", "  x = *1*", "# no heading", "![i](u) ~~gone~~ __init__", "ﬁne ① ５ minutes", "> quoted", "→ x", "~meta", "@deco", "<<<", ">>>", ":attr=the second", "-", "e.g.", "a\tb\x0bc", "| `q` | v |", "http://x: y",
+]
+
+
+def random_texts(n):
+    rng = random.Random(5)
+    return ["\n".join(rng.choices(PIECES, k=rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_nodes_of_random_lines(documents):
+    texts = random_texts(600)
+    made = nodes(documents(*enumerate(texts))).orderBy("doc_id", "node_no").collect()
     got = {}
     for r in made:
-        got.setdefault(r.doc_id, []).append((r.kind, r.what if r.kind not in ("blank", "block") else None))
+        what = {"heading": (r.level, r.text), "list_item": (r.depth, r.text), "kv": (r.key, r.value), "table": r.rows, "block": (r.lang, r.content), "blank": None}.get(r.kind, r.text)
+        got.setdefault(r.doc_id, []).append(({"list_item": "item"}.get(r.kind, r.kind), what))
+    for i, t in enumerate(texts):
+        lines = [x.rstrip() for x in unicodedata.normalize("NFKC", t).split("\n")]
+        assert got.get(i, []) == list(parsed(fenced(lines))), t
+
+
+@pytest.mark.parametrize("given", [{}, {"compression": 0}, {"compression": 1, "scope_mode": "concat"}, {"keep_urls": True, "sentence_split": True, "anchor_every": 2, "scope_mode": "stacked"}])
+def test_whole_compiler_on_random_lines(documents, given):
+    """Random documents from the first step to the last against the sequential compiler."""
+    settings, texts = standard().override(**given), random_texts(600)
+    got = {r.doc_id: r.compiled for r in compile_corpus(documents(*enumerate(texts)), settings).collect()}
+    plain = Compiler(settings)
     for i, t in enumerate(texts):
-        assert got.get(i, []) == [(k, None if w is None else str(w)) for k, w in sequential(t)], t
+        want = plain(t)
+        assert got.get(i, "") == "".join(x + "\n" for x in want), (t, got.get(i), want)
+
+
+def test_flagship(spark):
+    """compiled_documents and token_savings over the whole table against the sequential compiler."""
+    plain, docs = Compiler(standard()), spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    want = {r.doc_id: "".join(x + "\n" for x in plain(r.text)) for r in docs}
+    made = registry.queries()["compiled_documents"](spark, DATA).collect()
+    assert {r.doc_id: (r.compiled, r.n_lines, r.n_tokens) for r in made} == {i: (c, c.count("\n"), len(c.split())) for i, c in want.items() if c}
+    savings = {r.lang: (r.tokens_before, r.tokens_after) for r in registry.queries()["token_savings"](spark, DATA).collect()}
+    assert savings == {x: (sum(len(r.text.split()) for r in docs if r.lang == x), sum(len(want[r.doc_id].split()) for r in docs if r.lang == x)) for x in {r.lang for r in docs}}
 
 
 CASES = [
