@@ -2,6 +2,10 @@
 
 Schemas are trees whose references may form cycles and whose patterns hold balanced brackets, so they are read in
 Python, one schema at a time; everything after that is relational (operators/schemas.py).
+
+Text that isn't JSON, or too deep to be read, is a schema without definitions, and ``readable`` tells so. Keywords whose
+value isn't of their kind (a list for required and the branches, an object for properties, a string for description,
+pattern and a reference) are passed over.
 """
 
 from __future__ import annotations
@@ -44,9 +48,9 @@ def top_level(text: str, at: str = "|") -> list[str]:
     return parts if parts[-1] else parts[:-1]
 
 
-def pattern_values(pattern: str | None) -> list[str]:
+def pattern_values(pattern) -> list[str]:
     """The words that a pattern spells out, alternative by alternative; others are left out."""
-    if not pattern:
+    if not pattern or not isinstance(pattern, str):
         return []
     inner = re.sub(r"\$\s*\Z", "", pattern.removeprefix("^"))
     if inner[:1] == "(" and inner[-1:] == ")":
@@ -63,16 +67,29 @@ def pattern_values(pattern: str | None) -> list[str]:
     return found
 
 
+def _of(node, keyword: str, kind: type):
+    """The value of a keyword, or None if it has another kind."""
+    value = node.get(keyword)
+    return value if isinstance(value, kind) else None
+
+
+def _branches(node: dict, *keywords: str) -> list[dict]:
+    return [b for k in keywords for b in _of(node, k, list) or () if isinstance(b, dict)]
+
+
 class Schema:
     def __init__(self, text: str):
-        self.root = json.loads(text)
+        try:
+            self.root, self.readable = json.loads(text), True
+        except (ValueError, RecursionError):
+            self.root, self.readable = None, False
         held = self.root.get("definitions") if isinstance(self.root, dict) else None
         self.definitions: dict = held if isinstance(held, dict) else {}
 
     def resolve(self, ref) -> object:
         """What a reference points to, or None."""
         here = self.root if ref else None
-        for step in str(ref or "").removeprefix("#/").split("/"):
+        for step in (ref if isinstance(ref, str) else "").removeprefix("#/").split("/"):
             here = here.get(step) if isinstance(here, dict) else None
         return here
 
@@ -81,20 +98,20 @@ class Schema:
         if not isinstance(node, dict):
             return {}
         if "$ref" in node:  # a reference hides what stands beside it
-            ref = node["$ref"]
-            return {} if ref in seen else self.properties(self.resolve(ref), seen | {ref})
+            ref = _of(node, "$ref", str)
+            return {} if ref is None or ref in seen else self.properties(self.resolve(ref), seen | {ref})
         found: dict = {}
-        for branch in (b for kind in ("allOf", "anyOf", "oneOf") for b in node.get(kind) or ()):
+        for branch in _branches(node, "allOf", "anyOf", "oneOf"):
             found |= self.properties(branch, seen)
-        return found | (node.get("properties") or {})
+        return found | (_of(node, "properties", dict) or {})
 
     def required(self, node, seen: frozenset = frozenset()) -> set[str]:
         if not isinstance(node, dict):
             return set()
-        found = set(node.get("required") or ())
-        for branch in node.get("allOf") or ():
+        found = {x for x in _of(node, "required", list) or () if isinstance(x, str)}
+        for branch in _branches(node, "allOf"):
             found |= self.required(branch, seen)
-        ref = node.get("$ref")
+        ref = _of(node, "$ref", str)
         if ref and ref not in seen:
             found |= self.required(self.resolve(ref), seen | {ref})
         return found
@@ -111,23 +128,23 @@ class Schema:
         if "$ref" in prop:
             target = self.resolve(prop["$ref"])
             named = target.get("type") if isinstance(target, dict) else None
-            return named if named in _SCALARS else "string"
+            return named if isinstance(named, str) and named in _SCALARS else "string"
         kinds = set()
-        for option in prop.get("oneOf") or prop.get("anyOf") or ():
+        options = _of(prop, "oneOf", list) or _of(prop, "anyOf", list)
+        for option in _branches(prop, "oneOf") or _branches(prop, "anyOf"):
             if "type" in option:
                 kinds.add(str(option["type"]))
             elif "$ref" in option:
                 target = self.resolve(option["$ref"])
                 kinds.add(str(target["type"]) if isinstance(target, dict) and "type" in target else "object")
-        options = prop.get("oneOf") or prop.get("anyOf")
         return "¦".join(sorted(kinds)) if options else "any"
 
     def item_type(self, items) -> str:
         if not isinstance(items, dict) or not items:
             return "any"
-        if items.get("type") in ("string", "number"):
+        if _of(items, "type", str) in ("string", "number"):
             return items["type"]
-        return clean_name(items["$ref"].rpartition("/")[2]) if "$ref" in items else "any"
+        return clean_name(ref.rpartition("/")[2]) if (ref := _of(items, "$ref", str)) is not None else "any"
 
     def values(self, prop) -> list:
         """Constants and words of patterns that a property may have; enum isn't looked at."""
@@ -144,7 +161,7 @@ class Schema:
             if "oneOf" in target or "anyOf" in target:
                 return self.values(target)
         found = []
-        for option in prop.get("oneOf") or prop.get("anyOf") or ():
+        for option in _branches(prop, "oneOf") or _branches(prop, "anyOf"):
             aim = self.resolve(option["$ref"]) if "$ref" in option and "const" not in option else None
             if "const" in option:
                 found.append(option["const"])
@@ -157,7 +174,7 @@ class Schema:
         """Description of 200 characters at most, default and allowed values."""
         if not isinstance(prop, dict) or not prop:
             return ""
-        words = _LINK.sub(r"\1", " ".join((prop.get("description") or "").split()))
+        words = _LINK.sub(r"\1", " ".join((_of(prop, "description", str) or "").split()))
         if len(words) > LONGEST:
             words = words[: LONGEST - 3] + "..."
         default = f"Default: {json.dumps(prop['default'])}." if "default" in prop else ""
@@ -170,7 +187,7 @@ class Schema:
             return False
         if "properties" in definition:
             return True
-        kind = definition.get("type", "")
+        kind = _of(definition, "type", str) or ""
         return kind not in ("string", "number", "boolean") and (kind == "object" or "allOf" in definition)
 
     def objects(self) -> list[tuple[int, str, list[tuple[int, str, bool, str, str]]]]:

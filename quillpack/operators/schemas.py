@@ -11,21 +11,30 @@ from pyspark.sql import functions as F
 from ..config import Settings, standard
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.json_schema import Schema
 
 PROPERTY = pa.struct([("prop_no", pa.int32()), ("name", pa.string()), ("required", pa.bool_()), ("type", pa.string()), ("description", pa.string())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from ..functions.json_schema import Schema
-
     for batch in batches:
-        for schema_id, text in zip(batch.column("schema_id").to_pylist(), batch.column("json").to_pylist()):
-            rows = Schema(text).objects() if text else []
-            properties = [[dict(zip(("prop_no", "name", "required", "type", "description"), p)) for p in props] for _, _, props in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([schema_id] * len(rows), batch.column("schema_id").type), pa.array([n for n, _, _ in rows], pa.int32()), pa.array([name for _, name, _ in rows], pa.string()), pa.array(properties, pa.list_(PROPERTY))],
-                names=["schema_id", "def_no", "definition", "properties"],
-            )
+        at, number, names, properties = [], [], [], []
+        for i, text in enumerate(batch.column("json").to_pylist()):
+            for n, name, props in Schema(text).objects() if text else ():
+                at.append(i)
+                number.append(n)
+                names.append(name)
+                properties.append([dict(zip(("prop_no", "name", "required", "type", "description"), p)) for p in props])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("schema_id").take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(names, pa.string()), pa.array(properties, pa.list_(PROPERTY))],
+            names=["schema_id", "def_no", "definition", "properties"],
+        )
+
+
+def unreadable(schemas: DataFrame) -> DataFrame:
+    """schema_id of the schemas that aren't JSON: they have no definitions, and their text has the fixed lines only."""
+    read = F.pandas_udf(lambda texts: texts.map(lambda t: t is not None and not Schema(t).readable).astype(bool), "boolean")
+    return schemas.where(read("json")).select("schema_id")
 
 
 def objects(schemas: DataFrame) -> DataFrame:

@@ -45,3 +45,20 @@ def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> Non
 def write_texts(texts: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Plain text: the compiled texts one after the other. Each ends with a newline already, which the writer adds again itself."""
     texts.select(F.regexp_replace("compiled", "\n\\z", "")).write.mode(mode).text(path)
+
+
+def write_one(texts: DataFrame, path: str) -> None:
+    """One file with the compiled texts in order of their ids. A single task writes it beside, then it gets its name."""
+    spark = texts.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    made, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts")
+    files = made.getFileSystem(conf)
+    id_column = texts.columns[0]
+    write_texts(texts.repartitionByRange(1, id_column).sortWithinPartitions(id_column), beside.toString(), "overwrite")
+    part = next((x.getPath() for x in files.listStatus(beside) if x.getPath().getName().startswith("part-")), None)
+    files.delete(made, False)
+    if part is None:
+        files.create(made).close()
+    else:
+        files.rename(part, made)
+    files.delete(beside, True)

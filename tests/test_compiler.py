@@ -161,7 +161,7 @@ def test_settings(tmp_path):
             Settings.of(wrong)
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, capsys):
     from quillpack.__main__ import main
     from quillpack.sources.files import read_markdown, read_schemas, write_texts
 
@@ -177,8 +177,18 @@ def test_files(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["@one", "@root", "first", "second"]
     assert main(["compile", str(tmp_path / "in"), "-o", str(tmp_path / "again"), "-c", "1"]) == 0
     assert [r.value for r in spark.read.text(str(tmp_path / "again")).collect()] == ["@One", "first second"]
+    assert main(["compile", str(tmp_path / "in"), "-o", str(tmp_path / "one.txt")]) == 0
+    assert (tmp_path / "one.txt").read_text() == "@one\nfirst second\n" and not (tmp_path / "one.txt.parts").exists()
+    assert main(["compile", str(tmp_path / "in"), "--separate", "-o", str(tmp_path / "one.txt")]) == 0
+    assert (tmp_path / "one.txt").read_text() == "@one\nfirst\n@root\nsecond\n"
     (tmp_path / "in" / "s.json").write_text('{"definitions": {"A": {"properties": {"b": {"type": "string"}}}}}')
     assert read_schemas(spark, str(tmp_path / "in")).count() == 1
+    (tmp_path / "in" / "bad.json").write_text("{")
+    capsys.readouterr()
+    assert main(["schema", str(tmp_path / "in"), "-o", str(tmp_path / "schemas.txt")]) == 0
+    assert ":A.properties=b" in (tmp_path / "schemas.txt").read_text()
+    said = capsys.readouterr().err
+    assert "bad.json isn't JSON" in said and "s.json isn't" not in said
 
 
 def test_stream(spark, tmp_path):
@@ -209,6 +219,23 @@ def test_schema(spark):
     assert not json_schema.balanced(")(")
 
 
+ODD_SCHEMAS = [
+    "", "null", "[1]", "{", "3", '{"definitions": 3}', '{"definitions": {"A": true, "B": null, "C": {"properties": 3, "required": true, "allOf": {"x": 1}}}}',
+    '{"definitions": {"A": {"properties": {"p": true, "q": {"oneOf": [true, {"type": ["a", "b"]}]}, "r": {"$ref": 3}, "s": {"pattern": 3, "description": 4}, "t": {"type": "array", "items": {"$ref": null}}}, "required": [1, "p"], "anyOf": [true, null]}}}',
+    '{"definitions": {"A": {"type": ["object", "null"], "properties": {}}}}', "[" * 100_000,
+]
+
+
+def test_odd_schemas(spark):
+    """Malformed schemas, and keywords of a wrong kind, have a defined result and stop nothing."""
+    rows = spark.createDataFrame([*enumerate(ODD_SCHEMAS), (99, None)], "schema_id int, json string")
+    made = {(r.schema_id, r.definition, r.name): (r.required, r.type, r.description) for r in schemas.properties(schemas.objects(rows)).collect()}
+    assert made == {(7, "A", "p"): (True, "any", ""), (7, "A", "q"): (False, "['a', 'b']", ""), (7, "A", "r"): (False, "string", ""), (7, "A", "s"): (False, "any", ""), (7, "A", "t"): (False, "array of any", "")}
+    assert {(r.schema_id, r.definition) for r in schemas.objects(rows).collect()} == {(6, "C"), (7, "A"), (8, "A")}
+    assert {r.schema_id for r in schemas.unreadable(rows).collect()} == {0, 3, 9}
+    assert schemas.schema_texts(rows).count() == len(ODD_SCHEMAS) + 1
+
+
 def test_violations(spark):
     lines = spark.createDataFrame([(1, 0, "early"), (1, 1, "<<<"), (1, 2, "@x"), (1, 3, ">>>"), (1, 4, "late"), (1, 5, "@s"), (1, 6, "fine")], "doc_id bigint, line_no int, line string")
     assert [r.line_no for r in finish.violations(lines).orderBy("line_no").collect()] == [0, 4]
