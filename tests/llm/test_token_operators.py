@@ -67,6 +67,35 @@ def test_frames(spark, documents):
     assert frames.pack(documents()).collect() == []
 
 
+def test_files_are_read_by_range(spark, documents, tmp_path, monkeypatch):
+    rows = list(enumerate([*EDGES, *texts(40), "long words here " * 6000])) + [(3, EDGES[3]), (None, "nameless")]
+    docs, folder = documents(*rows), str(tmp_path / "tokens")
+    index = frames.write(frames.pack(docs, frame_tokens=50, shard_tokens=700), folder)
+    want = sorted(((r.doc_id, r.token_ids) for r in codec.encode(docs).collect() if r.doc_id is not None), key=repr)
+    assert index.count() == len(rows)
+    got = lambda ids: sorted(((r.doc_id, r.token_ids) for r in frames.read_range(spark, folder, spark.createDataFrame([(i,) for i in ids], "doc_id int")).collect()), key=repr)
+    assert got(range(-5, 70)) == want and got([]) == [] and got([3, 3, 999]) == [x for x in want if x[0] == 3]
+    # Written again, as by a task that is run twice: the same files.
+    index = frames.write(frames.pack(docs, frame_tokens=50, shard_tokens=700), folder)
+    assert got(range(70)) == want
+    # Of a file only the table and the frames asked for are decompressed.
+    place = index.where("doc_id = 20").first()
+    opened = []
+    monkeypatch.setattr(frames, "read_frame", lambda data, entry, real=frames.read_frame: opened.append(len(data)) or real(data, entry))
+    ((k, raw),) = frames.read_frames(f"{folder}/{place.shard}.zst", [place.frame])
+    assert k == place.frame and len(opened) == 1 and opened[0] < (tmp_path / "tokens" / f"{place.shard}.zst").stat().st_size
+    assert frames.write(frames.pack(documents()), str(tmp_path / "none")).count() == 0
+
+
+def test_very_long_texts(documents, plain):
+    text = "".join(random.Random(9).choices(["the", " word", "'s", "\n", "42", "é", " naïve", "漢", " x'"], k=40_000))
+    rows = documents((1, text), (2, "short"))
+    ids = plain.encode_ordinary(text)
+    assert {r.doc_id: r.token_ids for r in frames.read_documents(frames.pack(rows)).collect()}[1] == ids
+    at = counts.prefix_counts(rows).where("doc_id = 1").select(*[counts.tokens_at(F.col("prefix_counts"), F.lit(i)).alias(f"n{i}") for i in (1, 5_000, 77_777, len(text))]).first()
+    assert list(at) == [len(plain.encode_ordinary(text[:i])) for i in (1, 5_000, 77_777, len(text))]
+
+
 def test_each_frame_stands_alone(documents):
     import zstandard
 
