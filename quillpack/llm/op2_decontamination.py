@@ -11,8 +11,8 @@ they are few enough (``BROADCAST_SHINGLES``), otherwise the texts' shingles are
 
 Defined results: null or empty text, and text or items of fewer than ``SHINGLE`` words, match nothing; an item that
 repeats counts once for each item_id; repeated document rows give one result row, rows that share an id (or have none)
-and differ in text one each; an empty table gives no row; other columns aren't looked at. A document or item without an
-id is reported under a null id.
+and differ in text one each; a very long text is searched whole; of windows that hold equally much the first is reported;
+an empty table gives no row; other columns aren't looked at. A document or item without an id is reported under a null id.
 """
 
 from __future__ import annotations

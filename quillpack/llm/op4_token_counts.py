@@ -1,13 +1,14 @@
 """4. Token counts by prefix dynamic programming: the exact token count of every prefix of every document.
 
 Within a pre-token, ``count[i] = count[i - len(t)] + 1`` where ``t`` is the one token that ends at byte ``i`` and is
-compatible with the last token of the prefix before it, i.e. byte-pair merging would not join across the two. Before
+compatible with the last token of the prefix before it, i.e. byte-pair merging would not join across the two (Neubeck and
+van Antwerpen, "So many tokens, so little time", 2024). Before
 the pre-token all pieces are complete. Two places need care: a prefix that ends in white space followed by a word in
 the whole text (there the white space is one piece), and one that cuts a contraction. Counts are stored as compressed
 differences, one a character; truncation and budget questions are answered from them without encoding anything again.
 
 Defined results: null text gives nulls; empty text 0 tokens and an empty store; repeated rows give a row each; other
-columns aren't looked at; an empty table gives an empty result.
+columns aren't looked at; a very long text is counted whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -343,6 +343,16 @@ def test_lines(documents):
     assert lines.dropped_lines(documents()).collect() == [] and lines.without_repeats(documents()).collect() == []
 
 
+def test_many_lines_of_one_group(documents):
+    """Hundreds of different lines that all meet in one segment, and one line that a third of all rows have."""
+    rng = random.Random(13)
+    lines_ = [f"One line of a large group, of which this is number {i:03d} of all." for i in range(300)]
+    rows = [(i, x) for i, x in enumerate(lines_)] + [(1000 + i, "the line that everyone repeats, word for word") for i in range(250)] + [(2000 + i, prose(i, 12)) for i in range(150)]
+    rng.shuffle(rows)
+    made = {(r.doc_id, r.line_no) for r in lines.dropped_lines(documents(*rows)).collect()}
+    assert made == brute_lines(rows) and len(made) > 500
+
+
 # The pipeline
 
 
