@@ -144,7 +144,8 @@ def _longest_first(pairs) -> list[tuple[str, str]]:
 
 def _folded(c: Column) -> Column:
     """Lower case in which every letter that a pattern takes for an ASCII one in either case is that letter."""
-    return F.lower(F.translate(c, "ſKİ", "ski"))
+    odd = c.contains("ſ") | c.contains("K") | c.contains("İ")
+    return F.lower(F.when(odd, F.translate(c, "ſKİ", "ski")).otherwise(c))
 
 
 def _known(pairs) -> Column:
@@ -162,9 +163,10 @@ def _swapped(c: Column, pairs, by) -> Column:
     """
     if not pairs:
         return c
-    step = lambda made, p: F.when(_folded(made).contains(p["k"]), by(made, p)).otherwise(made)
+    held = lambda x: F.struct(x.alias("text"), _folded(x).alias("low"))
+    step = lambda made, p: F.when(made["low"].contains(p["k"]), P.let(by(made["text"], p), held)).otherwise(made)
     known = _known(pairs)
-    return P.let(_folded(c), lambda low: F.when(F.exists(known, lambda p: low.contains(p["k"])), F.aggregate(known, c, step)).otherwise(c))
+    return P.let(held(c), lambda x: F.when(F.exists(known, lambda p: x["low"].contains(p["k"])), F.aggregate(known, x, step)["text"]).otherwise(x["text"]))
 
 
 def phrases(c: Column, settings: Settings) -> Column:
