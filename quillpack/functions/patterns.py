@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 BLANK = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = r"\n" + BLANK
 S = f"[{WHITE}]"
+#: The same one by one, for trimming, which needs no regular expression; and all but the space.
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ODD = f"[{WHITE}&&[^ ]]"
 NOT_S = f"[^{WHITE}]"
 
 FENCE = r"(?smd)^(`{3,})([\p{L}\p{N}_]*)\n(.*?)(^\1$(?:\n|\z)|\z)"
@@ -45,13 +48,18 @@ def replace(c: Column, pattern: str, by: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return replace(replace(c, rf"^{S}+", ""), rf"(?<!{S}){S}++\z|^{S}+\z", "")
+    return F.trim(c, F.lit(WHITE_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return replace(c, rf"(?<!{S}){S}++\z|^{S}+\z", "")
+    return F.rtrim(c, F.lit(WHITE_CHARS))
 
 
 def squeeze(c: Column) -> Column:
-    """White space as single spaces, none at the ends."""
-    return F.trim(replace(c, f"{S}+", " "))
+    """White space as single spaces, none at the ends. A single space is left as it is, so most texts have nothing to replace."""
+    return F.trim(replace(c, f" {S}+|{ODD}{S}*", " "))
+
+
+def split_white(c: Column) -> Column:
+    """Parts between white space, some perhaps empty; by plain spaces where there is no other."""
+    return F.when(c.rlike(ODD), F.split(c, f"{S}+", -1)).otherwise(F.split(c, " ", -1))

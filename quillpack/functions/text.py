@@ -25,9 +25,13 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: Characters that are their own compatibility form whatever stands beside them: ASCII, most Latin letters, usual punctuation.
+INERT = r"\x00-\x7f\xa1-\xa7\xa9\xab-\xac\xae\xb0-\xb1\xb6-\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2013-\u2014\u2018-\u201e\u2020-\u2022\u20ac"
+
+
 def nfkc(c: Column) -> Column:
-    """Compatibility normal form. Only texts that aren't ASCII go to Python; the others are their own normal form."""
-    foreign = F.when(c.rlike(r"[^\x00-\x7F]"), c)
+    """Compatibility normal form. Only texts with other than inert characters go to Python; the others are their own normal form."""
+    foreign = F.when(c.rlike(f"[^{INERT}]"), c)
     return F.coalesce(F.pandas_udf(_nfkc, T.StringType())(foreign), c)
 
 
@@ -42,7 +46,7 @@ def lines(c: Column) -> Column:
 
 def token_count(c: Column) -> Column:
     """Tokens between white space."""
-    return F.size(F.filter(F.split(c, f"{P.S}+", -1), lambda t: t != ""))
+    return F.size(tokens(c))
 
 
 # Inline Markdown
@@ -180,15 +184,19 @@ def units(c: Column, settings: Settings) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(c, f"{P.S}+", -1), lambda t: t != "")
+    return F.filter(P.split_white(c), lambda t: t != "")
 
 
 def without_stopwords(c: Column, settings: Settings) -> Column:
-    """Tokens joined by single spaces, without those whose letters a to z spell a stopword that isn't protected."""
+    """Tokens joined by single spaces, without those whose letters a to z spell a stopword that isn't protected.
+
+    All but letters and white space goes in one pass over the text, whose parts then stand where its tokens do.
+    """
     dropped = sorted(settings.stopwords - settings.protect_words)
     if not dropped:
         return F.array_join(tokens(c), " ")
-    return F.array_join(F.filter(tokens(c), lambda t: ~P.replace(F.lower(t), "[^a-z]", "").isin(dropped)), " ")
+    letters = P.split_white(P.replace(F.lower(c), f"[^a-z{P.WHITE}]+", ""))
+    return F.array_join(P.let(letters, lambda keys: F.filter(P.split_white(c), lambda t, i: (t != "") & ~F.get(keys, i).isin(dropped))), " ")
 
 
 def without_period(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillpack import registry
 from quillpack.config import Settings, standard
 from quillpack.functions import json_schema
+from quillpack.functions import patterns as P
 from quillpack.functions import text as X
 from quillpack.operators import blocks, emit, finish, parse, schemas
 from quillpack.plans.compile import compile_corpus, compile_lines, concatenated, nodes
@@ -144,6 +145,28 @@ def test_columns(spark):
     assert [r[0] for r in rows.select(parse.table_row(F.col("t"))).collect()] == [["a", "", "b"], [], ["a", "b"]]
 
 
+def test_inert_characters():
+    """Each is its own compatibility form, and none joins with another."""
+    import re
+
+    inert = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and re.match(f"[{X.INERT}]", c)]
+    assert len(inert) > 300 and all(unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c) for c in inert)
+    random.seed(1)
+    for _ in range(3000):
+        t = "".join(random.choices(inert, k=8))
+        assert unicodedata.normalize("NFKC", t) == t
+
+
+def test_white_space(spark):
+    """Trimming, squeezing and splitting as Python's own, for every kind of white space."""
+    random.seed(2)
+    assert set(P.WHITE_CHARS) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    texts = ["".join(random.choices([*P.WHITE_CHARS, " ", " ", "a", "é", "漢", "B."], k=random.randint(0, 9))) for _ in range(2000)] + ["a b c", "", " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", P.strip(F.col("t")), P.rstrip(F.col("t")), P.squeeze(F.col("t")), X.tokens(F.col("t")), X.token_count(F.col("t"))).collect()
+    for i, *got in rows:
+        assert got == [texts[i].strip(), texts[i].rstrip(), " ".join(texts[i].split()), texts[i].split(), len(texts[i].split())], repr(texts[i])
+
+
 def test_replacements_are_literal(spark):
     settings = Settings(phrases=(("cost", r"$1\x"),), units=(("second", "$"),))
     row = spark.createDataFrame([("Cost 5 seconds",)], "t string").select(X.units(X.phrases(F.col("t"), settings), settings)).first()
