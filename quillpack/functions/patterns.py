@@ -13,7 +13,7 @@ WHITE = r"\n" + BLANK
 S = f"[{WHITE}]"
 #: The same one by one, for trimming, which needs no regular expression; and all but the space.
 WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-ODD = f"[{WHITE}&&[^ ]]"
+ODD = f"[{WHITE.replace(r'\x1c-\x20', r'\x1c-\x1f')}]"
 NOT_S = f"[^{WHITE}]"
 
 FENCE = r"(?smd)^(`{3,})([\p{L}\p{N}_]*)\n(.*?)(^\1$(?:\n|\z)|\z)"
@@ -56,8 +56,8 @@ def rstrip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White space as single spaces, none at the ends. A single space is left as it is, so most texts have nothing to replace."""
-    return F.trim(replace(c, f" {S}+|{ODD}{S}*", " "))
+    """White space as single spaces, none at the ends."""
+    return F.trim(replace(c, f"{S}+", " "))
 
 
 def split_white(c: Column) -> Column:

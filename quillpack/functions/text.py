@@ -195,8 +195,12 @@ def without_stopwords(c: Column, settings: Settings) -> Column:
     dropped = sorted(settings.stopwords - settings.protect_words)
     if not dropped:
         return F.array_join(tokens(c), " ")
-    letters = P.split_white(P.replace(F.lower(c), f"[^a-z{P.WHITE}]+", ""))
-    return F.array_join(P.let(letters, lambda keys: F.filter(P.split_white(c), lambda t, i: (t != "") & ~F.get(keys, i).isin(dropped))), " ")
+
+    def by(separator: str, white: str) -> Column:
+        letters = F.split(P.replace(F.lower(c), f"[^a-z{white}]+", ""), separator, -1)
+        return P.let(letters, lambda keys: F.filter(F.split(c, separator, -1), lambda t, i: (t != "") & ~F.get(keys, i).isin(dropped)))
+
+    return F.array_join(F.when(c.rlike(P.ODD), by(f"{P.S}+", P.WHITE)).otherwise(by(" ", " ")), " ")
 
 
 def without_period(c: Column) -> Column:

@@ -29,7 +29,7 @@ def kind_of(line: Column, t: Column) -> Column:
         .when(t.rlike(P.HEADING), "heading")
         .when(line.rlike(P.BULLET), "bullet")
         .when(line.rlike(P.NUMBERED), "numbered")
-        .when(t.rlike(P.KEY_VALUE), "kv")
+        .when(t.contains(":") & t.rlike(P.KEY_VALUE), "kv")
         .otherwise("text")
     )
 
