@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from ..config import Settings
 from . import patterns as P
 
-BOOLEANS = {"yes": "Y", "no": "N", "true": "T", "false": "F", "enabled": "Y", "disabled": "N"}
-GENERIC_HEADERS = ("value", "description", "details", "info", "notes", "default", "type")
+BOOLEANS = dict(zip("disabled enabled no yes false true".split(), "NYNYFT"))
+GENERIC_HEADERS = tuple("type default notes info details description value".split())
 NOT_TEXT = ("@", ":", "-", "~", "<<<", ">>>", "→", "←", "=")
 
 

@@ -3,8 +3,8 @@
 import re
 import unicodedata
 
-GENERIC = {"value", "description", "details", "info", "notes", "default", "type"}
-LETTERS = {"yes": "Y", "no": "N", "true": "T", "false": "F", "enabled": "Y", "disabled": "N"}
+GENERIC = set("type default notes info details description value".split())
+LETTERS = dict(zip("disabled enabled no yes false true".split(), "NYNYFT"))
 LISTED = re.compile(r"(\s*)(?:[-*+]|\d+\.)\s+(.+)", re.DOTALL)
 PAIR = re.compile(r"([A-Za-z][A-Za-z0-9 _-]{0,63})\s*:\s+(.+)", re.DOTALL)
 HEAD = re.compile(r"(#{1,6})\s+(.+)", re.DOTALL)
