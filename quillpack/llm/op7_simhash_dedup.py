@@ -77,7 +77,7 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1_000_000):
+    for batch in slices(batches, 400_000):  # each word takes some 150 bytes on the way
         out, some = fingerprints(["" if t is None else t for t in batch.column("text").to_pylist()])
         f = out.view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(f[:, 0].copy(), mask=~some), pa.array(f[:, 1].copy(), mask=~some)], names=["doc_id", "key", "f", "g"])
