@@ -1,4 +1,4 @@
-"""7. SimHash near-dedup by tiled exact comparison.
+"""7. SimHash near-dedup by tiled exact comparison, within bands.
 
 A document's fingerprint has ``BITS`` bits: each is the majority of that bit over the hashes of the document's distinct
 pairs of neighbouring words (its single word, if it has but one). Documents within ``RADIUS`` bits of each other are near
@@ -13,11 +13,15 @@ than 0.3. Two unrelated fingerprints of even bits are within 28 bits with probab
 The result has a row for each document in a group of two or more: kept_doc_id, the group's class, and n_links, the number
 of other documents within the radius.
 
-Equal fingerprints are one. The distinct ones, in order of their number of one bits, are cut into tiles; every pair of
-tiles is compared in full with exclusive or and bit counts, except those whose bit counts differ by more than the radius
-- in them no two fingerprints can be near. The same test skips blocks within a pair of tiles. What a pair of tiles finds
-is reduced to a star for each group before it leaves the task, so that groups of thousands stay linear in size. The
-comparison is exact, so its work grows with the square of the number of distinct fingerprints.
+Equal fingerprints are one. The distinct ones, in order of their number of one bits, are cut into tiles, and every pair of
+tiles is compared, except those whose bit counts differ by more than the radius - in them no two fingerprints can be near.
+Within a pair of tiles the bits are cut into bands, each with a limit, such that fingerprints within the radius keep to the
+limit in one band at least (``bands_of``): only those whose value in a band is within its limit are compared, with
+exclusive or and bit counts of all bits. Nothing near is lost by that. Where bands would save nothing, as with few
+fingerprints or many alike in some bits, all are compared whose bit counts allow it. Several tasks share a pair of tiles by
+the bands' values if there are few. What a task finds is reduced to a star for each group before it leaves, so that groups
+of thousands stay linear in size. The comparison is exact; bands make its work a fraction of all pairs (6 to 10 % of random
+ones in the largest tiles), but it still grows with the square of the number of distinct fingerprints.
 
 Defined results: documents without any word (null or empty text, too) have no fingerprint and are in no group; rows that
 repeat an id are one document if their text is equal and near duplicates, if their texts are; a null id is reported as
@@ -28,6 +32,9 @@ row; other columns aren't looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +47,10 @@ from .groups import components, labels
 from .op10_bpe_codec import slices
 
 BITS, RADIUS = 128, 28
-#: Rows of a tile at most, and the least number of tiles, so that small inputs are compared in parallel as well.
-TILE_ROWS, LEAST_TILES, BLOCK = 1 << 18, 12, 2048
+#: Rows of a tile at most, and the least number of tasks that tiles are compared by, of so many fingerprints each at least.
+TILE_ROWS, LEAST_TASKS, TASK_ROWS = 1 << 18, 24, 4096
+#: Pairs compared at once; pairs that are compared without looking for bands; what a band's value costs, in pairs.
+CELLS, FEW_CELLS, PER_BUCKET = 1 << 17, 1 << 26, 15_000
 _SECOND = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -83,27 +92,137 @@ def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(f[:, 0].copy(), mask=~some), pa.array(f[:, 1].copy(), mask=~some)], names=["doc_id", "key", "f", "g"])
 
 
-def blocks(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the near pairs of two arrays of fingerprints, each in order of its bit counts."""
+@lru_cache(32)
+def bands_of(n: int, radius: int) -> tuple[tuple[int, int, np.ndarray], ...]:
+    """First bit, width and the differences allowed of the bands that cost least for n fingerprints on each side.
+
+    The bits are cut into m bands with limits t whose sum of t + 1 is radius + 1: fingerprints within the radius differ by
+    at most t in some band, else they would differ by more in all.
+    """
+
+    def made(m: int) -> list[tuple[int, int, int]]:
+        limits = [(radius + 1 + i) // m - 1 for i in range(m)]
+        out, at = [], 0
+        for i, t in enumerate(limits):
+            width = (BITS + i) // m  # the wider bands are those of the larger limits
+            out.append((at, width, t))
+            at += width
+        return [x for x in out if x[2] >= 0]
+
+    def cost(m: int) -> float:
+        ball = [(w, sum(comb(w, k) for k in range(t + 1))) for _, w, t in made(m)]
+        return sum(min(n, 1 << w) * (PER_BUCKET + 5 * v * n / (1 << w)) + n * n * v / (1 << w) for w, v in ball)
+
+    best = min((m for m in range(BITS // 18, 33) if max(t for *_, t in made(m)) <= 4), key=cost)
+    return tuple((at, w, np.array([sum(1 << i for i in c) for k in range(t + 1) for c in combinations(range(w), k)], np.int64)) for at, w, t in made(best))
+
+
+def band(x: np.ndarray, at: int, width: int) -> np.ndarray:
+    """The bits at .. at + width of fingerprints of two words, as numbers."""
+    low, shift = x[:, at // 64] >> np.uint64(at % 64), 64 - at % 64
+    if shift < width:
+        low = low | (x[:, 1] << np.uint64(shift))
+    return (low & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+class Cells:
+    """Near pairs of some rows with others, in blocks of a bounded number of cells in the same buffers."""
+
+    def __init__(self, radius: int):
+        self.radius, self.x, self.d, self.e = radius, np.empty(CELLS, np.uint64), np.empty(CELLS, np.uint8), np.empty(CELLS, np.uint8)
+
+    def near(self, rows: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(rows), 64):
+            some = rows[i : i + 64]
+            step = CELLS // len(some)
+            for j in range(0, len(b0), step):
+                shape = len(some), len(b0[j : j + step])
+                x, d, e = (v[: shape[0] * shape[1]].reshape(shape) for v in (self.x, self.d, self.e))
+                np.bitwise_count(np.bitwise_xor(some[:, :1], b0[j : j + step], out=x), out=d)
+                np.bitwise_count(np.bitwise_xor(some[:, 1:], b1[j : j + step], out=x), out=e)
+                # Near pairs are so few that most blocks end here.
+                if np.add(d, e, out=d).min() <= self.radius:
+                    p, q = np.divmod(np.flatnonzero(self.d[: d.size] <= self.radius), shape[1])
+                    yield p + i, q + j
+
+
+def blocks(a: np.ndarray, b: np.ndarray, radius: int, same: bool, share: int = 0, shares: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the near pairs of two arrays of fingerprints, each in order of its bit counts, each pair once.
+
+    Of the work one share is done; all shares together give all pairs.
+    """
+    if not len(a) or not len(b):
+        return
     count = lambda x: np.bitwise_count(x).sum(1, dtype=np.int32)
     ca, cb = count(a), count(b)
+    starts = np.arange(0, len(a), 64)
+    low = np.maximum(np.searchsorted(cb, ca[starts] - radius), starts if same else 0)
+    high = np.searchsorted(cb, ca[np.minimum(starts + 63, len(a) - 1)] + radius, "right")
+    whole = 64 * int(np.maximum(high - low, 0).sum())
+    cells = Cells(radius)
+    if whole > FEW_CELLS:
+        bands, cost, at_b = bands_of((len(a) + len(b)) // 2, radius), 0, []
+        for at, width, ball in bands:
+            va = band(a, at, width)
+            vb = va if same else band(b, at, width)
+            na, nb = np.bincount(va, minlength=1 << width), np.bincount(vb, minlength=1 << width)
+            held = np.flatnonzero(na)
+            met = sum(nb[held ^ d] for d in ball)
+            cost += len(held) * PER_BUCKET + int((met * (na[held] + 5)).sum()) // (1 + same)
+            at_b.append((va, vb, nb))
+        if cost < whole:
+            yield from _banded(a, b, same, share, shares, bands, at_b, cells)
+            return
     b0, b1 = np.ascontiguousarray(b[:, 0]), np.ascontiguousarray(b[:, 1])
-    for i in range(0, len(a), 64):
-        rows = a[i : i + 64]
-        low, high = np.searchsorted(cb, ca[i] - radius), np.searchsorted(cb, ca[min(i + 63, len(a) - 1)] + radius, "right")
-        for j in range(max(int(low), i if same else 0), int(high), BLOCK):
-            to = min(j + BLOCK, int(high))
-            # Both halves at once, in bytes: near pairs are so few that most blocks end here.
-            d = np.bitwise_count(rows[:, :1] ^ b0[j:to])
-            d += np.bitwise_count(rows[:, 1:] ^ b1[j:to])
-            near = d <= radius
-            if near.any():
-                x, y = np.nonzero(near)
-                x += i
-                y += j
-                keep = x < y if same else np.ones(len(x), bool)
-                if keep.any():
-                    yield x[keep], y[keep]
+    for k in range(share, len(starts), shares):
+        i, j = int(starts[k]), int(low[k])
+        for x, y in cells.near(a[i : i + 64], b0[j : high[k]], b1[j : high[k]]):
+            x, y = x + i, y + j
+            keep = x < y if same else slice(None)
+            if len(x[keep]):
+                yield x[keep], y[keep]
+
+
+def _banded(a: np.ndarray, b: np.ndarray, same: bool, share: int, shares: int, bands, values, cells: Cells) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Band by band, those of a with a value in the band are compared with those of b whose value is within its limit."""
+    def fresh(k: int, held: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = map(np.concatenate, zip(*held))
+        va, vb, _ = values[k]
+        keep = (x < y) | (va[x] != vb[y]) if same else np.ones(len(x), bool)
+        for (_, _, earlier), (ea, eb, _) in zip(bands[:k], values):  # met by an earlier band
+            x, y = x[keep], y[keep]
+            keep = np.bitwise_count(ea[x] ^ eb[y]) > int(earlier[-1]).bit_count()
+        if len(x := x[keep]):
+            y = y[keep]
+            yield (np.minimum(x, y), np.maximum(x, y)) if same else (x, y)
+
+    for k, ((_, _, ball), (va, vb, nb)) in enumerate(zip(bands, values)):
+        order_a = np.argsort(va.astype(np.uint16) if va.max() < 1 << 16 else va, kind="stable")  # 16 bits are sorted by radix
+        order_b = order_a if same else np.argsort(vb.astype(np.uint16) if vb.max() < 1 << 16 else vb, kind="stable")
+        first = np.cumsum(nb) - nb
+        b0, b1, rows = b[order_b, 0], b[order_b, 1], a[order_a]
+        values_a, from_a = np.unique(va[order_a], return_index=True)
+        to_a = np.append(from_a[1:], len(a))
+        held, met = [], 0
+        for i in np.flatnonzero(values_a % shares == share).tolist():
+            v, lo, hi = int(values_a[i]), int(from_a[i]), int(to_a[i])
+            near = v ^ ball
+            if same:  # the other half is met from the other side
+                near = near[near >= v]
+            n = nb[near]
+            ends = np.cumsum(n)
+            if not ends[-1]:
+                continue
+            at = np.repeat(first[near] - ends + n, n)
+            at += np.arange(len(at))
+            for x, y in cells.near(rows[lo:hi], b0[at], b1[at]):
+                held.append((order_a[lo + x], order_b[at[y]]))
+                met += len(x)
+                if met > 1 << 17:
+                    yield from fresh(k, held)
+                    held, met = [], 0
+        if held:
+            yield from fresh(k, held)
 
 
 def compared(radius: int):
@@ -111,13 +230,13 @@ def compared(radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, left, right in zip(batch.column("same").to_pylist(), batch.column("left"), batch.column("right")):
+            for same, share, shares, left, right in zip(*[batch.column(c).to_pylist() for c in ("same", "share", "shares")], batch.column("left"), batch.column("right")):
                 a = np.frombuffer(left.as_buffer(), "<i8").reshape(-1, 3)
                 b = a if same else np.frombuffer(right.as_buffer(), "<i8").reshape(-1, 3)
                 both, shift = (a, 0) if same else (np.concatenate([a, b]), len(a))
                 links = np.zeros(len(both), np.int64)
                 held, n = [], 0
-                for x, y in blocks(a[:, :2].view(np.uint64), b[:, :2].view(np.uint64), radius, same):
+                for x, y in blocks(a[:, :2].view(np.uint64), b[:, :2].view(np.uint64), radius, same, share, shares):
                     np.add.at(links, x, b[y, 2])
                     np.add.at(links, y + shift, a[x, 2])
                     held.append((x, y + shift))
@@ -148,7 +267,9 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
     """From distinct fingerprints (f, g) of n documents each: every f, g near others, with another of its group (rf, rg),
     enough of them to connect it, and the number of documents near it; in parts, to be added up."""
     n = distinct.count()
-    tiles = max(LEAST_TILES, -(-n // tile_rows))
+    tiles = max(1, -(-n // tile_rows))
+    pairs = tiles * (tiles + 1) // 2
+    shares = max(1, min(-(-LEAST_TASKS // pairs), -(-n // TASK_ROWS)))
     ones = F.bit_count("f") + F.bit_count("g")
     # Tiles of about equal size in order of the bit count: a count's fingerprints are spread over its share of tiles.
     by_count = distinct.groupBy(ones.alias("ones")).count()
@@ -165,8 +286,9 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_
     near = x.join(y, (F.col("a_tile") <= F.col("b_tile")) & (F.col("a_low") <= F.col("b_high") + radius) & (F.col("b_low") <= F.col("a_high") + radius)).select("a_tile", "b_tile")
     joined = near.join(a.select("a_tile", "a_data"), "a_tile").join(b.select("b_tile", "b_data"), "b_tile")
     joined = joined.select("a_tile", "b_tile", (F.col("a_tile") == F.col("b_tile")).alias("same"), F.col("a_data").alias("left"), F.when(F.col("a_tile") == F.col("b_tile"), F.unhex(F.lit(""))).otherwise(F.col("b_data")).alias("right"))
-    spread = joined.repartition(max(parts(distinct), min(16 * parts(distinct), tiles * (tiles + 1) // 2)), "a_tile", "b_tile")
-    return spread.select("same", "left", "right").mapInArrow(compared(radius), "f bigint, g bigint, rf bigint, rg bigint, links bigint")
+    joined = joined.withColumn("shares", F.lit(shares)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    spread = joined.repartition(max(parts(distinct), min(16 * parts(distinct), pairs * shares)), "a_tile", "b_tile", "share")
+    return spread.select("same", "share", "shares", "left", "right").mapInArrow(compared(radius), "f bigint, g bigint, rf bigint, rg bigint, links bigint")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -280,6 +280,55 @@ def test_tiles(spark):
         assert {number[r.f, r.g]: r.links for r in made} == {i: (i + 40) % 80 + 1 for i in range(80)}
 
 
+def by_bit_count(x):
+    return np.ascontiguousarray(x[np.argsort(np.bitwise_count(x).sum(1), kind="stable")])
+
+
+def test_bands_find_all_near_pairs(monkeypatch):
+    """Near pairs by bands are those of a full comparison, each once, of random prints with copies and of prints alike in some bits."""
+    monkeypatch.setattr(simhash, "FEW_CELLS", 0)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, (900, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (900, 2), dtype=np.uint64)
+    copies = base.copy()
+    for row in range(900):
+        for bit in rng.choice(128, rng.integers(1, 36), replace=False):
+            copies[row, bit // 64] ^= np.uint64(1 << (int(bit) % 64))
+    a = by_bit_count(np.concatenate([base, copies[:600]]))
+    b = by_bit_count(copies)
+    alike = by_bit_count(np.unique(base & np.array([0xFFFF, 0xFF0000FF], np.uint64), axis=0))
+    for per_value in (0, simhash.PER_BUCKET):  # wider and narrower bands
+        monkeypatch.setattr(simhash, "PER_BUCKET", per_value)
+        simhash.bands_of.cache_clear()
+        for x, y, same in ((a, a, True), (a, b, False), (b, a, False), (alike, alike, True)):
+            d = sum(np.bitwise_count(x[:, k, None] ^ y[None, :, k]).astype(int) for k in (0, 1))
+            for radius in (28, 8):
+                want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= radius)) if i < j or not same}
+                for shares in (1, 3):
+                    made = [p for share in range(shares) for i, j in simhash.blocks(x, y, radius, same, share, shares) for p in zip(i.tolist(), j.tolist())]
+                    assert len(made) == len(set(made)) and set(made) == want
+    simhash.bands_of.cache_clear()
+
+
+def test_bands_spare_comparisons(monkeypatch):
+    """Of 60,000 random prints less than a third of all pairs are compared; a full comparison counts the bits of each twice."""
+    counted = 0
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bitwise_count(self, x, **more):
+            nonlocal counted
+            counted += x.size
+            return np.bitwise_count(x, **more)
+
+    rng = np.random.default_rng(12)
+    x = by_bit_count(rng.integers(0, 1 << 63, (60_000, 2), dtype=np.uint64))
+    monkeypatch.setattr(simhash, "np", Counting())
+    assert sum(len(i) for i, _ in simhash.blocks(x, x, 28, True)) <= 2  # unrelated ones meet with probability 5e-11
+    assert counted < 2 * (len(x) * (len(x) - 1) // 2) / 3
+
+
 def test_links(documents):
     """Copies, and many different texts that are all near each other: a class, and every link counted."""
     text = prose(9, 300).split()
