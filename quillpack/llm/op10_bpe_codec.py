@@ -27,6 +27,8 @@ from .common import only, parts, table
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
 #: Boundaries this near to a chunk's cut end may change with the text after it.
 UNSETTLED = 4
+#: Text that a worker of the pipeline's stages works on at once, in bytes; a longer text is a slice of its own.
+SLICE_BYTES = 1_000_000
 SCHEMA = "doc_id bigint, token_ids array<int>, n_tokens int, n_bytes bigint, round_trip boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("n_bytes", pa.int64()), ("round_trip", pa.bool_())])
 
@@ -84,7 +86,7 @@ def encoded(batch: pa.RecordBatch, path: str) -> tuple[np.ndarray, np.ndarray, n
 
 def encode_whole(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             ids, bounds, missing, size, same = encoded(batch, path)
             counts = pa.array(np.diff(bounds).astype(np.int32), mask=missing)
             yield pa.RecordBatch.from_arrays(
@@ -98,7 +100,7 @@ def pretokenise(chunk_chars: int, overlap: int):
     """Adds to each chunk the boundaries in its first and its last ``overlap`` characters, as offsets in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             head, tail = [], []
             for k, last, text in zip(batch.column("k").to_pylist(), batch.column("last").to_pylist(), batch.column("text").to_pylist()):
                 begins = bpe.spans_of(text)[:-1]
@@ -113,7 +115,7 @@ def pretokenise(chunk_chars: int, overlap: int):
 
 def encode_parts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             ids, bounds, missing, size, same = encoded(batch, path)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("h"), batch.column("k"), batch.column("n"), lists(ids, bounds, missing), pa.array(size), pa.array(same)],

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import only, stored, table
-from .op10_bpe_codec import slices
+from .op10_bpe_codec import SLICE_BYTES, slices
 
 SHINGLE, CONTAINMENT, BROADCAST_SHINGLES = 3, 0.6, 4_000_000
 
@@ -43,7 +43,7 @@ def shingles(df: DataFrame, id_column: str, n: int, within: np.ndarray | None =
             known = shared.value
             bits = np.zeros(1 << 24, bool)  # a first sieve, by the upper bits
             bits[known >> np.uint64(40)] = True
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             w, bounds = words.words_of(texts)
             h = words.shingles_of(w, n)

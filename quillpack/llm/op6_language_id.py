@@ -23,14 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import only, table
-from .op10_bpe_codec import slices
+from .op10_bpe_codec import SLICE_BYTES, slices
 
 ORDER, SAMPLE_DOCS, SAMPLE_BYTES, LEAST_COUNT = 3, 256, 400_000, 3
 REJECT_BITS, SLACK_BITS, UNIT = 5.0, 64.0, 1024
@@ -188,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None, reject_bits: float = REJECT_B
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             best, bits, margin, accepted = _judged(shared.value, batch.column("text").to_pylist(), reject_bits, slack_bits)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(bits), pa.array(margin), pa.array(accepted)], names=["doc_id", "language", "bits", "margin", "accepted"])
 
@@ -199,17 +198,11 @@ def accepted_rows(docs: DataFrame, model: Model | None, reject_bits: float = REJ
     """The rows, with all their columns, that aren't rejected; only their texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def accept(texts: pd.Series) -> pd.Series:
-        held, out, size = [], [], 0
-        for t in [*texts, False]:
-            if t is False or size > 4_000_000:
-                out.append(_judged(shared.value, held, reject_bits, slack_bits)[3])
-                held, size = [], 0
-            held.append(t)
-            size += len(t) if t else 0
-        return pd.Series(np.concatenate(out), dtype=bool)
-
-    return docs.where(F.pandas_udf(accept, T.BooleanType())("text"))
+    def accept(texts: pa.Array) -> pa.Array:
+        parts = slices([pa.RecordBatch.from_arrays([texts], names=["text"])], SLICE_BYTES)
+        return pa.array(np.concatenate([np.zeros(0, bool), *(_judged(shared.value, x.column("text").to_pylist(), reject_bits, slack_bits)[3] for x in parts)]))
+
+    return docs.where(F.arrow_udf(accept, T.BooleanType())("text"))
 
 
 def accepted_documents(docs: DataFrame, model: Model | None) -> DataFrame:

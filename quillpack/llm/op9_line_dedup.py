@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, words
 from .common import only, parts, stored, table
-from .op10_bpe_codec import slices
+from .op10_bpe_codec import SLICE_BYTES, slices
 
 THRESHOLD, LEAST_CHARS, BROADCAST_LINES = 2, 24, 4_000_000
 #: Entries of a partition of signatures, about, so that its memory doesn't follow the size of the table.
@@ -52,7 +52,7 @@ def line_hash(line: str) -> tuple[int, int]:
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line that isn't blank, by its 128-bit hash."""
-    for batch in slices(batches):
+    for batch in slices(batches, SLICE_BYTES):
         row, number, upper, lower, chars = [], [], [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             for j, line in enumerate(lines_of(text or "")):
@@ -94,7 +94,7 @@ def signatures(threshold: int, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, 2_000_000):
+        for batch in slices(batches, SLICE_BYTES):
             lines, ids = [], []
             if len(seen) > 2_000_000:
                 seen.clear()
@@ -283,7 +283,7 @@ def texts_of(docs: DataFrame, lines: DataFrame, least: int, broadcast_lines: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             if len(seen) > 1_000_000:
                 seen.clear()
             ids, texts = [], []
