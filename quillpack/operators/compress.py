@@ -1,56 +1,15 @@
-"""Compression of lines: white space and rules at level 0, dictionaries at level 2."""
+"""Compression of lines at level 0, as columns. functions/document.py compresses whole documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-from ..config import Settings
 from ..functions import patterns as P
 from ..functions import text as X
 
-ORDER = ("doc_id", "run", "sub")
-
-
-def in_order() -> WindowSpec:
-    return Window.partitionBy("doc_id").orderBy("run", "sub")
-
-
-def so_far() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, 0)
-
 
 def level0(lines: DataFrame) -> DataFrame:
     """Single spaces, without empty lines and rules. Level 1 is the same again, so it has no pass of its own."""
     made = lines.withColumn("line", F.when(F.col("verbatim"), F.col("line")).otherwise(P.squeeze(F.col("line"))))
     return made.where(F.col("verbatim") | (F.col("line") != "") & ~X.is_rule(F.col("line")))
-
-
-def inside_block(line: Column) -> Column:
-    """Whether the latest of the lines <<< and >>> so far is the former."""
-    return F.coalesce(F.last(F.when(line.isin("<<<", ">>>"), line), ignorenulls=True).over(so_far()) == "<<<", F.lit(False))
-
-
-def level2(lines: DataFrame, settings: Settings) -> DataFrame:
-    """Phrases and units on text, list and attribute lines; stopwords and final full stops on text and list lines."""
-    mark = F.when(~F.col("verbatim"), F.col("line"))
-    fixed = inside_block(mark) | F.col("verbatim") | F.col("line").isin("<<<", ">>>") | F.col("line").startswith("::") | F.col("line").startswith("@")
-    kind = F.when(fixed, "fixed").when(X.is_text_line(F.col("line")), "text").when(F.col("line").startswith("-"), "list").when(F.col("line").startswith(":"), "attribute").otherwise("fixed")
-    made = lines.withColumn("line_kind", kind)
-    made = made.withColumn("body", F.when(F.col("line_kind") == "fixed", None).when(F.col("line_kind") == "text", F.col("line")).otherwise(F.substring("line", 2, 1 << 30)))
-    made = made.withColumn("phrased", X.phrases(F.col("body"), settings))
-    made = made.withColumn("united", X.units(F.col("phrased"), settings))
-    kept = X.without_stopwords(F.col("united"), settings)
-    made = made.withColumn("kept", F.when(F.col("line_kind").isin("text", "list"), kept))
-    whole = F.when(F.col("line_kind") == "list", F.concat(F.lit("-"), F.col("kept"))).otherwise(F.col("kept"))
-    final = F.when(F.col("line_kind") == "fixed", F.col("line")).when(F.col("line_kind") == "attribute", F.concat(F.lit(":"), F.col("united"))).otherwise(X.without_period(whole))
-    return made.withColumn("line", final).drop("line_kind", "body", "phrased", "united", "kept")
-
-
-def compressed(lines: DataFrame, settings: Settings) -> DataFrame:
-    """All passes up to the settings' level, renumbered: doc_id, line_no and line."""
-    made = level0(lines)
-    if settings.compression >= 2:
-        made = level2(made, settings)
-    return made.withColumn("line_no", F.row_number().over(in_order()) - 1).select("doc_id", "line_no", "line")

@@ -1,14 +1,12 @@
-"""Nodes to lines: each node's own lines, and the pairs of keys and values that stand together."""
+"""The lines of a run of pairs of keys and values, as columns. functions/document.py has those of whole documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import text as X
 from ..functions import patterns as P
-from . import scopes, tables
 
 NOTHING = "array<string>"
 
@@ -17,18 +15,6 @@ def none() -> Column:
     return F.array().cast(NOTHING)
 
 
-def list_line(text: Column, depth: Column, settings: Settings) -> Column:
-    return F.concat(F.lit("-"), F.repeat(F.lit("."), depth), F.when(depth > 0, " ").otherwise(""), X.inline(text, settings))
-
-
-def paragraph_lines(text: Column, settings: Settings) -> Column:
-    return F.filter(F.transform(X.sentences(X.inline(text, settings), settings), P.strip), lambda s: s != "")
-
-
-def block_lines(lang: Column, content: Column) -> Column:
-    return F.array(F.concat(F.lit("::"), F.when(lang != "", lang).otherwise("code")), F.lit("<<<"), content, F.lit(">>>"))
-
-
 def common_prefix(keys: Column) -> Column:
     """What all keys begin with, up to its last separator; nothing if that is the very beginning.
 
@@ -59,42 +45,3 @@ def pair_lines(pairs: Column, settings: Settings) -> Column:
         return F.split(F.concat(head, F.array_join(said, "")), "\n", -1)
 
     return F.when(F.size(pairs) == 0, none()).otherwise(P.let(extracted_prefix(pairs, settings), lines))
-
-
-def with_lines(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Adds said: the node's own lines, and pairs: what goes into the run of pairs."""
-    made = scopes.announced(scopes.named(nodes, settings))
-    is_ = lambda k: F.col("kind") == k
-    made = made.withColumn("table_kind", F.when(is_("table"), tables.table_class(F.col("rows")))).withColumn("flags", F.when(is_("table"), tables.boolean_columns(F.col("rows"), settings)))
-    table = [F.col("rows"), F.col("table_kind")]
-    said = (
-        F.when(is_("heading"), F.when(F.col("announce").isNotNull(), F.array(F.concat(F.lit("@"), F.col("announce")))).otherwise(none()))
-        .when(is_("paragraph"), paragraph_lines(F.col("text"), settings))
-        .when(is_("list_item"), F.array(list_line(F.col("text"), F.col("depth"), settings)))
-        .when(is_("block"), block_lines(F.col("lang"), F.col("content")))
-        .when(is_("table"), F.concat(tables.header_lines(*table), tables.row_lines(*table, F.col("flags"), settings)))
-        .when(~is_("kv"), none())
-    )
-    pair = F.struct(X.key_name(F.col("key")).alias("k"), X.inline(F.col("value"), settings).alias("v"))
-    pairs = F.when(is_("kv"), F.array(pair)).when(is_("table"), tables.pairs(*table, F.col("flags"), settings)).otherwise(F.array().cast(f"array<{tables.PAIR}>"))
-    return made.select("doc_id", "node_no", "kind", "is_root", said.alias("said"), pairs.alias("pairs"))
-
-
-def runs(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, run, said, pairs and rooted: each node that isn't a pair, with the pairs up to the next."""
-    order = Window.partitionBy("doc_id").orderBy("node_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = with_lines(nodes, settings).withColumn("run", F.sum((F.col("kind") != "kv").cast("int")).over(order))
-    pairs = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("node_no", "pairs"))), lambda x: x["pairs"]))
-    return numbered.groupBy("doc_id", "run").agg(F.first(F.when(F.col("kind") == "block", F.lit(True)), ignorenulls=True).alias("is_block"), F.coalesce(F.first("said", ignorenulls=True), none()).alias("said"), pairs.alias("pairs"), F.max("is_root").alias("rooted"))
-
-
-def emitted(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, run, sub, line and verbatim: what is said, in order of run and sub."""
-    root = F.when(F.col("rooted"), F.array(F.lit("@root"))).otherwise(none())
-    flat = lambda lines: F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit(False).alias("verbatim")))
-    said = flat(F.col("said"))
-    if settings.preserve_blocks:
-        inner = F.transform(F.split(F.col("said")[2], "\n", -1), lambda x: F.struct(x.alias("line"), F.lit(True).alias("verbatim")))
-        said = F.when(F.col("is_block"), F.concat(flat(F.slice("said", 1, 2)), inner, flat(F.slice("said", 4, 1)))).otherwise(said)
-    lines = F.concat(flat(root), said, flat(pair_lines(F.col("pairs"), settings)))
-    return runs(nodes, settings).select("doc_id", "run", F.posexplode(lines).alias("sub", "x")).select("doc_id", "run", "sub", "x.line", "x.verbatim")

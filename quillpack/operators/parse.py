@@ -1,25 +1,13 @@
-"""Lines to nodes: classification line by line, then tables and paragraphs as runs found with windows.
-
-All windows are by document in line order, so Spark shuffles once and sorts once for all of them.
-"""
+"""What a line is by itself, as columns. functions/document.py reads lines in their order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from ..functions import patterns as P
 
 
-def in_order() -> WindowSpec:
-    return Window.partitionBy("doc_id").orderBy("line_no")
-
-
-def so_far() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, 0)
-
-
 def kind_of(line: Column, t: Column) -> Column:
     """What a line is by itself; ``t`` is the line without white space at its ends."""
     return (
@@ -48,69 +36,3 @@ def table_row(t: Column) -> Column:
     cells = F.transform(F.split(t, r"\|", -1), P.strip)
     cells = F.when(F.get(cells, F.lit(0)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
     return F.when((F.size(cells) > 0) & (F.element_at(cells, F.when(F.size(cells) > 0, -1).otherwise(1)) == ""), F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
-
-
-def with_tables(lines: DataFrame) -> DataFrame:
-    """Adds table_line: the line's place in its table (0 the header, 1 the delimiter), null outside of tables."""
-    bar = F.coalesce(F.col("t").contains("|"), F.lit(False))
-    after = F.lead("t").over(in_order())
-    made = (
-        lines.withColumn("bar", bar)
-        .withColumn("header", F.col("bar") & ~F.col("kind").isin("blank", "thematic", "heading", "block") & F.coalesce(after.rlike(P.DELIMITER) & after.contains("---"), F.lit(False)))
-        .withColumn("opens", F.col("bar") & ~F.coalesce(F.lag("bar").over(in_order()), F.lit(False)))
-        .withColumn("island", F.sum(F.col("opens").cast("int")).over(so_far()))
-        # The first header since the island of lines with a bar began.
-        .withColumn("seen", F.max(F.when(F.col("header"), F.struct("island", (-F.col("line_no")).alias("n")))).over(so_far()))
-    )
-    inside = F.col("bar") & (F.col("seen.island") == F.col("island"))
-    return made.withColumn("table_line", F.when(inside, F.col("line_no") + F.col("seen.n"))).drop("header", "opens", "island", "seen")
-
-
-def with_nodes(lines: DataFrame) -> DataFrame:
-    """Adds node_no: the number of the node that a line belongs to, null for dropped rules."""
-    free = F.col("table_line").isNull()
-    soft = free & ~F.col("structural")
-    starts_text = free & F.col("bar") & (F.col("kind") == "text")
-    made = lines.withColumn("soft", soft).withColumn("bar_text", starts_text)
-    # In a run of soft lines everything from its first text on is one paragraph, or all of it if a line with a bar began one.
-    made = made.withColumn("opens", F.col("soft") & ~F.coalesce(F.lag("soft").over(in_order()), F.lit(False)))
-    made = made.withColumn("run", F.sum(F.col("opens").cast("int")).over(so_far())).withColumn("joined", F.col("opens") & F.coalesce(F.lag("bar_text").over(in_order()), F.lit(False)))
-    state = F.max(F.when(F.col("soft") & (F.col("joined") | (F.col("kind") == "text")), F.struct("run", (-F.col("line_no")).alias("n"), F.col("joined").alias("j")))).over(so_far())
-    made = made.withColumn("state", state)
-    in_paragraph = F.col("soft") & (F.col("state.run") == F.col("run"))
-    begins = in_paragraph & (F.col("state.n") == -F.col("line_no")) & ~F.col("state.j")
-    start = F.when(F.col("table_line").isNotNull(), F.col("table_line") == 0).when(F.col("soft"), F.coalesce(begins, F.lit(False))).otherwise(True)
-    made = made.withColumn("node_no", F.sum(start.cast("int")).over(so_far()) - 1)
-    dropped = F.col("soft") & ~F.coalesce(in_paragraph, F.lit(False)) | F.coalesce(F.col("table_line") == 1, F.lit(False))
-    return made.withColumn("node_no", F.when(~dropped, F.col("node_no"))).drop("soft", "bar_text", "opens", "run", "joined", "state")
-
-
-def nodes(lines: DataFrame) -> DataFrame:
-    """doc_id, node_no, kind (heading, paragraph, list_item, table, kv, blank or block) and the fields of that kind."""
-    marked = with_nodes(with_tables(classified(lines))).where("node_no is not null")
-    node = F.struct("line_no", "line", "t", "kind", "lang", "content", (F.col("table_line").isNotNull()).alias("in_table"))
-    parts = marked.groupBy("doc_id", "node_no").agg(F.array_sort(F.collect_list(node)).alias("parts"))
-    first = F.col("parts")[0]
-    one = parts.select("doc_id", "node_no", "parts", *[first[c].alias(c) for c in ("line", "t", "lang", "content", "in_table")], first["kind"].alias("line_kind"))
-    kind = F.when(F.col("in_table"), "table").when(F.col("line_kind").isin("bullet", "numbered"), "list_item").when(F.col("line_kind") == "text", "paragraph").otherwise(F.col("line_kind"))
-    one = one.withColumn("kind", kind)
-    is_ = lambda k: F.col("kind") == k
-    group = lambda c, pattern, i: F.regexp_extract(c, pattern, i)
-    marked_item = lambda i: F.when(F.col("line_kind") == "bullet", group(F.col("line"), P.BULLET, i)).otherwise(group(F.col("line"), P.NUMBERED, i))
-    return one.select(
-        "doc_id",
-        "node_no",
-        "kind",
-        F.when(is_("heading"), F.length(group(F.col("t"), P.HEADING, 1))).alias("level"),
-        F.when(is_("heading"), P.strip(group(F.col("t"), P.HEADING, 2)))
-        .when(is_("paragraph"), F.array_join(F.transform("parts", lambda x: x["t"]), " "))
-        .when(is_("list_item"), P.strip(marked_item(3)))
-        .alias("text"),
-        F.when(is_("list_item"), F.floor(F.length(marked_item(1)) / 2).cast("int")).alias("depth"),
-        F.when(is_("list_item"), F.col("line_kind") == "numbered").alias("ordered"),
-        F.when(is_("kv"), group(F.col("t"), P.KEY_VALUE, 1)).alias("key"),
-        F.when(is_("kv"), P.strip(group(F.col("t"), P.KEY_VALUE, 2))).alias("value"),
-        F.when(is_("table"), F.transform("parts", lambda x: table_row(x["t"]))).alias("rows"),
-        "lang",
-        "content",
-    )

@@ -1,6 +1,6 @@
 """The compiler as one plan: from documents to compiled lines or texts.
 
-One shuffle by document: classification, runs, scopes, chunks and blocks are windows and groups over that partitioning.
+One pass over each document, where it is read; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -9,23 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings, standard
-from ..operators import blocks, compress, emit, finish, parse
+from ..operators import documents
 
 
 def nodes(docs: DataFrame) -> DataFrame:
     """Nodes of documents (doc_id, text); ids are unique."""
-    return parse.nodes(blocks.lines(blocks.normalised(docs)))
+    return documents.nodes(docs)
+
+
+def outline(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """doc_id, node_no, level and scope of every heading."""
+    return documents.outline(docs, settings or standard())
 
 
 def compile_lines(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, line_no and line; a document that says nothing has no lines."""
-    settings = settings or standard()
-    return finish.anchored(compress.compressed(emit.emitted(nodes(docs), settings), settings), settings)
+    return documents.lines(docs, settings or standard())
 
 
 def compile_corpus(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, compiled, n_lines and n_tokens of the documents that say something."""
-    return finish.texts(compile_lines(docs, settings))
+    return documents.texts(docs, settings or standard())
 
 
 def concatenated(files: DataFrame) -> DataFrame:

@@ -54,9 +54,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Short rows over enough tasks for all cores before each becomes a whole document.
+
+    A table of some MB is a single split however many rows it has, and AQE would join small partitions again if their
+    number weren't given.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text of a Markdown document for each part."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(PART_TEXT).alias("text"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.expr(PART_TEXT).alias("text"))
 
 
 def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:

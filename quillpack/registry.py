@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .config import standard
 from .functions import patterns as P
 from .functions import text as X
-from .operators import blocks, compress, emit, finish, parse, schemas, scopes, tables
+from .operators import blocks, compress, emit, finish, parse, schemas, tables
 from .plans import compile as plan
 from .plans import corpora as C
 from .plans.corpora import table
@@ -257,7 +257,7 @@ def key_names(spark, sf_dir):
 
 
 def _outline(mode: str):
-    return lambda spark, sf_dir: scopes.outline(plan.nodes(C.parts(spark, sf_dir)), standard().override(scope_mode=mode)).select("doc_id", "level", "scope")
+    return lambda spark, sf_dir: plan.outline(C.parts(spark, sf_dir), standard().override(scope_mode=mode)).select("doc_id", "level", "scope")
 
 
 for _mode, _second in (("flat", _scope("p_type")), ("concat", f"{_scope("p_brand || ' Line'")} || '_' || {_scope('p_type')}")):
