@@ -69,6 +69,11 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc_id"), F.expr(PART_TEXT).alias("text"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of a few pairs for each order."""
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.expr(PAIR_TEXT).alias("text"))
+
+
 def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """schema_id and json of a JSON Schema for each part."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("schema_id"), F.expr(JSON).alias("json"))

@@ -194,8 +194,7 @@ def list_items(spark, sf_dir):
 
 @query("SELECT o_orderkey AS doc_id, 'Order Status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'order priority', o_orderpriority FROM orders")
 def key_values(spark, sf_dir):
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(C.PAIR_TEXT).alias("text"))
-    return plan.nodes(docs).where("kind = 'kv'").select("doc_id", "key", "value")
+    return plan.nodes(C.pairs(spark, sf_dir)).where("kind = 'kv'").select("doc_id", "key", "value")
 
 
 @query("SELECT p_partkey AS doc_id, 'Sold as ~~is~~ ' || p_name || '. Ready by `' || p_brand || '`' AS text FROM part UNION ALL SELECT p_partkey, 'Last words.' FROM part")
@@ -271,8 +270,7 @@ query(_SQL["scopes_concat"])(_f)
 
 @query("SELECT o_orderkey AS doc_id, CAST(0 AS INTEGER) AS line_no, '@root' AS line FROM orders UNION ALL SELECT o_orderkey, 1, ':order_status=' || o_orderstatus || ' order_priority=' || o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 2, 'http://x 9 lives: no' FROM orders")
 def root_scopes(spark, sf_dir):
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(C.PAIR_TEXT).alias("text"))
-    return plan.compile_lines(docs, standard().override(compression=1))
+    return plan.compile_lines(C.pairs(spark, sf_dir), standard().override(compression=1))
 
 
 # Tables
