@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings, standard
-from ..functions import patterns as P
-from ..functions import text as X
+from ..functions.document import Compiler
 from ..functions.json_schema import Schema
+from ..functions.text import BOOLEANS
+from .documents import each
 
 PROPERTY = pa.struct([("prop_no", pa.int32()), ("name", pa.string()), ("required", pa.bool_()), ("type", pa.string()), ("description", pa.string())])
 
@@ -56,38 +57,33 @@ def richest(properties: DataFrame) -> DataFrame:
     return properties.groupBy("schema_id", "name").agg(F.min(place).alias("place"), F.max_by(F.struct("type", "description"), rank).alias("best")).select("schema_id", "name", "place", "best.*")
 
 
-def compressed(rows: DataFrame, column: str, settings: Settings) -> DataFrame:
-    """Phrases, units, booleans, stopwords, final full stop and white space of a column of descriptions."""
-    rows = rows.withColumn(column, X.phrases(F.col(column), settings))
-    rows = rows.withColumn(column, X.units(F.col(column), settings))
-    if settings.bool_compress:
-        words = F.transform(X.tokens(F.col(column)), lambda t: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in X.BOOLEANS.items() for x in pair]), F.lower(t)), t))
-        rows = rows.withColumn(column, F.array_join(words, " "))
-    rows = rows.withColumn(column, X.without_stopwords(F.col(column), settings))
-    return rows.withColumn(column, P.squeeze(X.without_period(F.col(column))))
+def compressed(text: str, compiler: Compiler) -> str:
+    """Phrases, units, booleans, stopwords, final full stop and white space of a description."""
+    text = compiler.units(compiler.phrases(text))
+    if compiler.s.bool_compress:
+        text = " ".join(BOOLEANS.get(t.lower(), t) for t in text.split())
+    return " ".join(compiler.without_period(compiler.without_stopwords(text)).split())
 
 
-def object_lines(objects: DataFrame) -> DataFrame:
-    said = F.array_join(F.transform("properties", lambda p: F.concat(p["name"], F.when(p["required"], "!").otherwise(""))), ", ")
-    return objects.select("schema_id", F.lit(1).alias("section"), F.col("def_no").alias("a"), F.lit(0).alias("b"), F.concat(F.lit(":"), "definition", F.lit(".properties="), said).alias("line"))
+def schema_lines(text: str | None, compiler: Compiler) -> list[str]:
+    """The inventory of objects, then every property in order of its first appearance, with its richest description."""
+    found = Schema(text).objects() if text else []
+    out = ["@Objects.Properties", "Required properties marked with `!`."]
+    best: dict[str, tuple[str, str]] = {}
+    for _, name, properties in found:
+        out.append(f":{name}.properties=" + ", ".join(p + "!" * required for _, p, required, *_ in properties))
+        for _, p, _, kind, description in properties:
+            if p not in best or len(description) > len(best[p][1]):
+                best[p] = kind, description
+    return [*out, "@Properties", *(f"-{p} ({kind}): {compressed(description, compiler)}" for p, (kind, description) in best.items())]
 
 
-def property_lines(objects: DataFrame, settings: Settings) -> DataFrame:
-    rows = compressed(richest(properties(objects)), "description", settings)
-    return rows.select("schema_id", F.lit(3).alias("section"), F.col("place.def_no").alias("a"), F.col("place.prop_no").alias("b"), F.concat(F.lit("-"), "name", F.lit(" ("), "type", F.lit("): "), "description").alias("line"))
-
-
-def schema_lines(schemas: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """schema_id, section, a, b and line, in order of section, a and b."""
+def schema_texts(schemas: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """schema_id and compiled; each schema by itself."""
     settings = settings or standard()
-    found = objects(schemas)
-    heads = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("a"), F.lit(x).alias("line")) for s, n, x in ((0, 0, "@Objects.Properties"), (0, 1, "Required properties marked with `!`."), (2, 0, "@Properties"))])
-    fixed = schemas.select("schema_id", F.explode(heads).alias("x")).select("schema_id", "x.section", "x.a", F.lit(0).alias("b"), "x.line")
-    return fixed.unionByName(object_lines(found)).unionByName(property_lines(found, settings))
 
+    def made():
+        compiler = Compiler(settings)
+        return lambda t: [("".join(x + "\n" for x in schema_lines(t, compiler)),)]
 
-def schema_texts(schemas: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """schema_id and compiled."""
-    ordered = F.array_sort(F.collect_list(F.struct("section", "a", "b", "line")))
-    joined = F.concat(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("\n"))
-    return schema_lines(schemas, settings).groupBy("schema_id").agg(joined.alias("compiled"))
+    return each(schemas, made, (("compiled", "string", pa.string()),), key="schema_id", text="json")

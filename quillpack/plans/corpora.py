@@ -76,7 +76,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """schema_id and json of a JSON Schema for each part."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("schema_id"), F.expr(JSON).alias("json"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("schema_id"), F.expr(JSON).alias("json"))
 
 
 def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ DATA = os.environ.get("QUILLPACK_TESTDATA", "/root/testdata/sf0.001")
 #: Queries on documents made of short rows: these are spread once.
 SPREAD = (
     *(f"compiled_{x}" for x in ("level2", "level1", "level0", "concat", "keeping_urls", "sentences", "anchored", "texts")), "detected_tables", "node_kinds", "scopes_flat", "scopes_concat", "scopes_stacked", "headings", "paragraphs", "list_items",
-    "root_scopes", "key_values",
+    "root_scopes", "key_values", "schema_texts", "schema_properties",
 )
 
 
