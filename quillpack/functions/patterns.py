@@ -16,14 +16,11 @@ WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr,
 ODD = f"[{WHITE.replace(r'\x1c-\x20', r'\x1c-\x1f')}]"
 NOT_S = f"[^{WHITE}]"
 
-FENCE = r"(?smd)^(`{3,})([\p{L}\p{N}_]*)\n(.*?)(^\1$(?:\n|\z)|\z)"
-BARE_FENCE = r"(?d)(?:^|\n)`{3,}[\p{L}\p{N}_]*\z"
 THEMATIC = r"^[-*_]{3,}\z"
 HEADING = rf"(?s)^(#{{1,6}}){S}+(.+)\z"
 BULLET = rf"(?s)^({S}*)([-*+]){S}+(.+)\z"
 NUMBERED = rf"(?s)^({S}*)(\p{{Nd}}+)\.{S}+(.+)\z"
 KEY_VALUE = rf"(?s)^([A-Za-z][A-Za-z0-9 _-]{{0,63}}){S}*:{S}+(.+)\z"
-DELIMITER = rf"^\|?[{WHITE}:-]+\|"
 SENTENCE_END = rf"(?<=[.!?]){S}+(?=[A-Z])"
 IDENTIFIER = r"^[A-Za-z._-]"
 

@@ -2,59 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from ..functions import patterns as P
-from ..functions import text as X
+from ..functions import document as D
+from .documents import Fields, each
 
-LINE = "struct<line:string,lang:string,content:string>"
+BLOCK: Fields = (("lang", "string", pa.string()), ("content", "string", pa.string()))
 
 
 def normalised(docs: DataFrame) -> DataFrame:
     """doc_id and text: compatibility form, newlines as \\n, no white space at the ends of lines."""
-    made = docs.select("doc_id", X.unix_newlines(X.nfkc(F.col("text"))).alias("text"))
-    return made.withColumn("text", F.when(F.col("text").rlike(rf"[{P.BLANK}](?:\n|\z)"), P.replace(F.col("text"), rf"(?<![{P.BLANK}])[{P.BLANK}]++(?=\n|\z)", "")).otherwise(F.col("text")))
-
-
-def _plain(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("content")))
-
-
-def contents(text: Column) -> Column:
-    """The content of every fence: without the newline before the closing line, whole if the fence stays open."""
-    raw, ends = F.regexp_extract_all(text, F.lit(P.FENCE), 3), F.regexp_extract_all(text, F.lit(P.FENCE), 4)
-    return F.zip_with(raw, ends, lambda c, e: F.when(e != "", P.replace(c, r"\n\z", "")).otherwise(c))
-
-
-def _fenced(text: Column) -> Column:
-    """Lines and blocks in order: between two fences stand whole lines, each with its newline."""
-    langs = F.regexp_extract_all(text, F.lit(P.FENCE), 2)
-    blocks = F.zip_with(langs, contents(text), lambda a, c: F.struct(F.lit(None).cast("string").alias("line"), a.alias("lang"), c.alias("content")))
-    nothing = F.array().cast(f"array<{LINE}>")
-
-    def part(piece: Column, last: Column, first: Column, after: Column) -> Column:
-        whole = F.when(last, P.replace(piece, P.BARE_FENCE, "")).otherwise(P.replace(piece, r"\n\z", ""))
-        # A piece that is nothing but a bare fence at the end has no line left.
-        empty = F.when(last, ~first & (whole == "") | (piece != "") & (whole == "")).otherwise(piece == "")
-        return F.concat(F.when(empty, nothing).otherwise(_plain(whole)), F.when(last, nothing).otherwise(F.array(after)))
-
-    def parts(pieces: Column, held: Column) -> Column:
-        return F.flatten(F.transform(pieces, lambda piece, i: part(piece, i == F.size(pieces) - 1, i == 0, F.get(held, i))))
-
-    # Both are computed once, not again for each piece.
-    return P.let(blocks, lambda held: P.let(F.split(text, P.FENCE, -1), lambda pieces: parts(pieces, held)))
+    return each(docs, lambda: lambda t: [(None if t is None else "\n".join(D.normalised(t)),)], (("text", "string", pa.string()),))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, and either line or, for a code block, lang and content; from normalised documents."""
-    text = F.coalesce("text", F.lit(""))
-    rows = F.when(text.contains("```"), _fenced(text)).otherwise(_plain(text))
-    return docs.select("doc_id", F.posexplode(rows).alias("line_no", "x")).select("doc_id", "line_no", "x.*")
+    """doc_id, line_no, and either line or, for a code block, lang and content; normalised before or not."""
+    rows = lambda t: [(i, None, *x) if isinstance(x, D.Block) else (i, x, None, None) for i, x in enumerate(D.with_blocks(D.normalised(t)))]
+    return each(docs, lambda: rows, (("line_no", "int", pa.int32()), ("line", "string", pa.string()), *BLOCK))
 
 
 def code_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block_idx, lang and content of every code block; from normalised documents."""
-    text = F.col("text")
-    zipped = F.zip_with(F.regexp_extract_all(text, F.lit(P.FENCE), 2), contents(text), lambda a, c: F.struct(a.alias("lang"), c.alias("content")))
-    return docs.where(text.contains("```")).select("doc_id", F.posexplode(zipped).alias("block_idx", "x")).select("doc_id", "block_idx", "x.*")
+    """doc_id, block_idx, lang and content of every code block; normalised before or not."""
+    rows = lambda t: [(i, *x) for i, x in enumerate(x for x in D.with_blocks(D.normalised(t)) if isinstance(x, D.Block))]
+    return each(docs, lambda: rows, (("block_idx", "int", pa.int32()), *BLOCK))

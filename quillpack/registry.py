@@ -140,14 +140,14 @@ def concatenated_files(spark, sf_dir):
 
 @query(f"SELECT p_partkey AS doc_id, CAST(0 AS INTEGER) AS block_idx, 'sql' AS lang, {C.PART_LINES[13]} || chr(10) || '# no heading' AS content FROM part")
 def code_blocks(spark, sf_dir):
-    return blocks.code_blocks(blocks.normalised(C.parts(spark, sf_dir)))
+    return blocks.code_blocks(C.parts(spark, sf_dir))
 
 
 @query(
     f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, CASE WHEN i <> 13 THEN rtrim(l[i]) END AS line, CASE WHEN i = 13 THEN 'sql' END AS lang FROM (SELECT p_partkey AS doc_id, [{', '.join(x for i, x in enumerate(C.PART_LINES) if i not in (13, 14, 15))}] AS l FROM part), unnest(range(1, len(l) + 1)) AS u(i)"
 )
 def protected_lines(spark, sf_dir):
-    return blocks.lines(blocks.normalised(C.parts(spark, sf_dir))).select("doc_id", "line_no", "line", "lang")
+    return blocks.lines(C.parts(spark, sf_dir)).select("doc_id", "line_no", "line", "lang")
 
 
 # Lines to nodes

@@ -17,7 +17,7 @@ DATA = os.environ.get("QUILLPACK_TESTDATA", "/root/testdata/sf0.001")
 #: Queries on documents made of short rows: these are spread once.
 SPREAD = (
     *(f"compiled_{x}" for x in ("level2", "level1", "level0", "concat", "keeping_urls", "sentences", "anchored", "texts")), "detected_tables", "node_kinds", "scopes_flat", "scopes_concat", "scopes_stacked", "headings", "paragraphs", "list_items",
-    "root_scopes", "key_values", "schema_texts", "schema_properties",
+    "code_blocks", "protected_lines", "root_scopes", "key_values", "schema_texts", "schema_properties",
 )
 
 
@@ -34,6 +34,12 @@ def test_one_exchange_of_rows(spark, name):
     assert not re.search("Window|Sort|Aggregate", plan)
 
 
+def test_text_is_made_after_the_exchange(spark):
+    """Nothing is made of a row before it is spread: below the exchange there is only the table."""
+    below = plan_of(registry.queries()["code_blocks"](spark, DATA)).partition("Exchange")[2].partition("\n")[2]
+    assert "concat" not in below and "regexp" not in below and "Python" not in below and "Arrow" not in below
+
+
 def test_rows_are_spread(spark):
     assert corpora.parts(spark, DATA).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
 
